@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat_format, near_dup, packing, quality_rules, token_files
+from tidewell.llm import chat_format, decontaminate, line_dedup, near_dup, packing, quality_rules, token_files
 from tidewell.llm.common import table
 
 
@@ -32,11 +32,20 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=("n_lines", "n_dropped"))
+    return docs.select("doc_id", "n_lines", "n_dropped", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_minhash, op5_packing, op6_token_files, op9_quality_rules)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=10).drop("row")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_minhash, op5_packing, op6_token_files, op7_line_dedup, op9_quality_rules, op10_decontaminate)}
 SQL: dict[str, str] = {}
 
 
@@ -104,3 +113,52 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR 100 * exclamations > 30 * n_words OR upper_chars > lower_chars OR 100 * (digits + n_symbols) > 50 * word_chars) AS kept
 FROM based
 """
+
+SQL["op7_line_dedup"] = r"""
+WITH cut AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), lines AS (
+  SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS l FROM cut
+), worded AS (
+  SELECT doc_id, i, l, row_number() OVER (ORDER BY doc_id, i) AS place FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
+), firsts AS (
+  SELECT l, min(place) AS first FROM worded GROUP BY l
+), halves AS (
+  SELECT DISTINCT l, first, unnest(['p' || m || ' ' || left(l, m), 's' || m || ' ' || right(l, m)]) AS half
+  FROM (SELECT l, first, unnest([length(l) // 2, (length(l) - 1) // 2]) AS m FROM firsts WHERE length(l) >= 40)
+), near AS (
+  SELECT DISTINCT b.l FROM halves a JOIN halves b ON a.half = b.half AND a.first < b.first
+  WHERE length(a.l) = length(b.l) AND len([p FOR p IN range(0, length(a.l)) IF left(a.l, p) = left(b.l, p) AND substr(a.l, p + 2) = substr(b.l, p + 2)]) > 0
+    OR length(a.l) + 1 = length(b.l) AND len([p FOR p IN range(0, length(b.l)) IF left(a.l, p) = left(b.l, p) AND substr(a.l, p + 1) = substr(b.l, p + 2)]) > 0
+    OR length(a.l) = length(b.l) + 1 AND len([p FOR p IN range(0, length(a.l)) IF left(a.l, p) = left(b.l, p) AND substr(a.l, p + 2) = substr(b.l, p + 1)]) > 0
+), gone AS (
+  SELECT doc_id, i FROM worded JOIN firsts USING (l) WHERE place > first OR l IN (SELECT l FROM near)
+), kept AS (
+  SELECT doc_id, string_agg(l, chr(10) ORDER BY i) AS text FROM lines WHERE (doc_id, i) NOT IN (SELECT doc_id, i FROM gone) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, coalesce(n, 0) AS n_dropped, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, sha256(coalesce(text, '')) AS text_sha256
+FROM cut LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id)
+"""
+
+SQL["op10_decontaminate"] = r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, n, unnest([array_to_string(w[i : i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS t
+  FROM (SELECT item_id, w, least(10, len(w)) AS n FROM item_words WHERE len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT n FROM windows
+), places AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, unnest([array_to_string(w[i : i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS t FROM doc_words, sizes WHERE len(w) >= n
+), hits AS (
+  SELECT doc_id, places.n, i, item_id FROM places JOIN windows USING (t, n)
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM (SELECT doc_id, i, unnest(range(0, n)) AS k FROM hits) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
