@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat_format, decontaminate, line_dedup, near_dup, packing, quality_rules, token_files
+from tidewell.llm import chat_format, decontaminate, line_dedup, near_dup, packing, quality_rules, substring_dedup, token_files
 from tidewell.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.without_repeats(table(spark, sf_dir, "documents"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -45,7 +50,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=10).drop("row")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_minhash, op5_packing, op6_token_files, op7_line_dedup, op9_quality_rules, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_minhash, op4_substring_dedup, op5_packing, op6_token_files, op7_line_dedup, op9_quality_rules, op10_decontaminate)}
 SQL: dict[str, str] = {}
 
 
@@ -162,3 +167,26 @@ WITH doc_words AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+SQL["op4_substring_dedup"] = r"""
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), starts AS (
+  SELECT doc_id, s, md5(substr(h, 2 * s + 1, 800)) AS m FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS s FROM texts WHERE n >= 400)
+), twice AS (
+  SELECT m FROM starts GROUP BY m HAVING count(*) > 1
+), marked AS (
+  SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM starts WHERE m IN (SELECT m FROM twice)
+), runs AS (
+  SELECT doc_id, s, sum(CASE WHEN p IS NULL OR s > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM marked
+), spans AS (
+  SELECT doc_id, k, min(s) AS b, max(s) + 400 AS e FROM runs GROUP BY doc_id, k
+), pieces AS (
+  SELECT doc_id, k, e AS b, coalesce(lead(b) OVER (PARTITION BY doc_id ORDER BY b), 1000000000) AS e, e - b AS gone FROM spans
+  UNION ALL SELECT doc_id, 0, 0, min(b), 0 FROM spans GROUP BY doc_id
+), left_over AS (
+  SELECT doc_id, sum(gone) AS gone, count(*) - 1 AS n_spans, string_agg(substr(h, CAST(2 * b + 1 AS BIGINT), CAST(2 * (e - b) AS BIGINT)), '' ORDER BY pieces.k) AS h FROM pieces JOIN texts USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(left_over.h, texts.h))) AS kept_sha256
+FROM texts LEFT JOIN left_over USING (doc_id)
+"""
