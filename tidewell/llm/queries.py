@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat_format, decontaminate, line_dedup, near_dup, packing, quality_rules, substring_dedup, token_files
+from tidewell.llm import chat_format, decontaminate, license_scan, line_dedup, near_dup, packing, quality_model, quality_rules, substring_dedup, token_files
 from tidewell.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(*chat_format.format_conversations(turns, path), path)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
@@ -42,6 +46,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -50,7 +59,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=10).drop("row")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_minhash, op4_substring_dedup, op5_packing, op6_token_files, op7_line_dedup, op9_quality_rules, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_minhash, op4_substring_dedup, op5_packing, op6_token_files, op7_line_dedup, op8_quality_model, op9_quality_rules, op10_decontaminate)}
 SQL: dict[str, str] = {}
 
 
