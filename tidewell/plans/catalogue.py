@@ -399,12 +399,13 @@ def grouped_aggregate(spark, d):
 
 # Patterns
 
-_A, _B = F.col("event_type") == "view", F.col("event_type") == "click"
+def _is(kind):
+    return F.col("event_type") == kind
 
 
 @query("SELECT user_id, seq AS a_seq, b_seq FROM (SELECT user_id, seq, event_type, lead(seq) OVER w AS b_seq, lead(event_type) OVER w AS b FROM $EV WINDOW w AS (PARTITION BY user_id ORDER BY seq)) WHERE event_type = 'view' AND b = 'click'")
 def cep_next(spark, d):
-    return cep.matched_next(events(spark, d), "user_id", _A, _B).select("user_id", "a_seq", "b_seq")
+    return cep.matched_next(events(spark, d), "user_id", _is("view"), _is("click")).select("user_id", "a_seq", "b_seq")
 
 
 _FB = f"SELECT user_id, seq AS a_seq, b_seq FROM (SELECT user_id, seq, ms, event_type, min(CASE WHEN event_type = 'click' THEN seq END) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b_seq FROM $EV) a JOIN (SELECT seq AS s, ms AS b_ms FROM $EV) b ON s = b_seq WHERE event_type = 'view' AND b_ms - ms <= {DAY}"
@@ -412,12 +413,12 @@ _FB = f"SELECT user_id, seq AS a_seq, b_seq FROM (SELECT user_id, seq, ms, event
 
 @query(_FB)
 def cep_followed_by(spark, d):
-    return cep.matched_followed_by(events(spark, d), "user_id", _A, _B, DAY).select("user_id", "a_seq", "b_seq")
+    return cep.matched_followed_by(events(spark, d), "user_id", _is("view"), _is("click"), DAY).select("user_id", "a_seq", "b_seq")
 
 
 @query(f"SELECT a.user_id, a.seq AS a_seq, b.seq AS b_seq FROM $EV a JOIN $EV b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND b.seq > a.seq AND b.ms - a.ms <= {DAY}")
 def cep_followed_by_any(spark, d):
-    return cep.matched_followed_by_any(events(spark, d), "user_id", _A, _B, DAY).select("user_id", "a_seq", "b_seq")
+    return cep.matched_followed_by_any(events(spark, d), "user_id", _is("view"), _is("click"), DAY).select("user_id", "a_seq", "b_seq")
 
 
 _ONES = "SELECT user_id, seq, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS i, min(seq) OVER (PARTITION BY user_id) AS f FROM $EV WHERE event_type = 'view'"
@@ -425,7 +426,7 @@ _ONES = "SELECT user_id, seq, row_number() OVER (PARTITION BY user_id ORDER BY s
 
 @query(f"SELECT user_id, f AS first_seq, seq AS last_seq, i AS n FROM ({_ONES})")
 def cep_one_or_more(spark, d):
-    return cep.matched_repeats(events(spark, d), "user_id", _A, 1)
+    return cep.matched_repeats(events(spark, d), "user_id", _is("view"), 1)
 
 
 def _groups(n: int, least: int) -> str:
@@ -434,30 +435,30 @@ def _groups(n: int, least: int) -> str:
 
 @query(_groups(3, 3))
 def cep_exactly_n(spark, d):
-    return cep.matched_repeats(events(spark, d), "user_id", _A, 3, 3)
+    return cep.matched_repeats(events(spark, d), "user_id", _is("view"), 3, 3)
 
 
 @query(_groups(4, 2))
 def cep_range(spark, d):
-    return cep.matched_repeats(events(spark, d), "user_id", _A, 2, 4)
+    return cep.matched_repeats(events(spark, d), "user_id", _is("view"), 2, 4)
 
 
 @query("SELECT user_id, seq AS a_seq, b_seq FROM (SELECT user_id, seq, event_type, lead(seq) OVER w AS b_seq, lead(event_type) OVER w AS b FROM $EV WINDOW w AS (PARTITION BY user_id ORDER BY seq)) WHERE event_type = 'view' AND b = 'click'")
 def cep_machine_next(spark, d):
-    found = cep.detect(events(spark, d), "user_id", cep.Pattern.begin("a", _A).next("b", _B))
+    found = cep.detect(events(spark, d), "user_id", cep.Pattern.begin("a", _is("view")).next("b", _is("click")))
     return found.select("user_id", F.col("seqs")[0].alias("a_seq"), F.col("seqs")[1].alias("b_seq"))
 
 
 @query(_FB)
 def cep_machine_followed_by(spark, d):
-    found = cep.detect(events(spark, d), "user_id", cep.Pattern.begin("a", _A).followed_by("b", _B).within(DAY))
+    found = cep.detect(events(spark, d), "user_id", cep.Pattern.begin("a", _is("view")).followed_by("b", _is("click")).within(DAY))
     return found.select("user_id", F.col("seqs")[0].alias("a_seq"), F.col("seqs")[1].alias("b_seq"))
 
 
 @query()
 def cep_nfa_mixed(spark, d):
     c = F.col("event_type") == "purchase"
-    found = cep.detect(events(spark, d), "user_id", cep.Pattern.begin("a", _A).followed_by("b", _B).optional().followed_by("c", c).within(DAY))
+    found = cep.detect(events(spark, d), "user_id", cep.Pattern.begin("a", _is("view")).followed_by("b", _is("click")).optional().followed_by("c", c).within(DAY))
     return found.withColumn("seqs", F.array_join(F.col("seqs").cast("array<string>"), ",")).withColumn("steps", F.array_join(F.col("steps").cast("array<string>"), ","))
 
 
