@@ -192,7 +192,7 @@ def train(rows: list[tuple[set[int], float]], most_features: int, epochs: int =
         g = np.bincount(column, error[doc], len(w)) + decay * w
         square += g * g
         w -= rate * g / np.sqrt(square)
-        bias -= rate * 4 * error.sum()
+        bias = min(-1.0, bias - rate * 4 * error.sum())  # without evidence a text is not rejected
     z = np.bincount(doc, w[column], n) + bias
     negative = z[y < 0.1]
     limit = max(0.0, float(np.quantile(negative, 0.9998)) + 0.5) if len(negative) else 0.0
