@@ -1,7 +1,7 @@
 """MinHash near-duplicate detection with odd sketches.
 
-A document's set is its distinct word shingles, as 64-bit hashes. ``bands * rows`` MinHash
-samples of it are taken; ``rows`` of them at a time make a band key, and documents that share
+A document's set is its distinct word shingles, as 64-bit hashes. ``samples`` MinHash
+samples of it are taken; ``rows`` of the first ones at a time make a band key, and documents that share
 a key are candidates. All samples are also folded into an odd sketch: each sample flips one
 bit of a bitmap. The bits set in the XOR of two sketches estimate how many samples differ,
 and that most precisely for high similarities; candidates whose estimate lies several
@@ -9,17 +9,20 @@ standard errors below the limit are let go, the others are confirmed on the full
 
 No pairs are listed inside a group of copies:
 1. documents with equal sets (a digest of the sorted set) are one class from the start;
-2. in each bucket every class is compared with the bucket's first class only; confirmed
-   links make components, which take in nearly all of a large group;
-3. a bucket that still holds several components is dealt into cells of a bounded number of
-   classes; a task compares the sketches of a cell, or of two cells, across components only,
-   and gives out the pairs whose estimate is high enough. These are confirmed, and make
-   the final components. Two cells of one component are never compared.
+2. buckets of the first bands are dealt into cells of a bounded number of classes, the
+   bucket's first class in each; a task takes the pairs of a cell from the highest estimate
+   down and gives out those that join what wasn't joined yet: a forest, so fewer pairs than
+   classes. Confirmed links make components, which take in nearly all of a large group;
+3. of all bands, buckets that still hold several components are dealt into cells by component, and a task
+   gives out a forest across the components of a cell or of two cells. Two cells of
+   one component are never compared;
+4. the same once more, now with every pair across components whose estimate is high enough and
+   which wasn't looked at before.
 So a pair of classes that share a band key is either confirmed, refused, or connected.
 
 Chance: with 32 bands of 4 rows two sets of similarity 0.8 share no band key with
-probability (1 - 0.8^4)^32 = 5e-8; the sketch refuses a true link by a fluctuation of over
-five standard errors.
+probability (1 - 0.8^4)^32 = 5e-8; the sketch refuses a true link by a fluctuation of
+over four standard errors (0.12 where one is under 0.03).
 
 Defined cases: null or empty text has an empty set and no links; a text of fewer words than
 a shingle is one shingle of all its words; repeated rows are documents of the same class; a
@@ -81,9 +84,9 @@ def shingle_set(text: str, k: int) -> np.ndarray:
 class Sketcher:
     """MinHash samples, band keys and odd sketch of a set."""
 
-    def __init__(self, bands: int, rows: int, bits: int, seed: int = 1):
+    def __init__(self, bands: int, rows: int, bits: int, samples: int = 0, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.bands, self.rows, self.bits, self.n = bands, rows, bits, bands * rows
+        self.bands, self.rows, self.bits, self.n = bands, rows, bits, max(samples, bands * rows)
         self.a = (rng.integers(0, 2**32, self.n, dtype=np.uint32) | np.uint32(1))[:, None]
         self.b = rng.integers(0, 2**32, self.n, dtype=np.uint32)[:, None]
         self.number = np.arange(self.n, dtype=np.uint64)
@@ -93,8 +96,6 @@ class Sketcher:
         for at in range(0, len(low), 1024):
             x = low[None, at : at + 1024] * self.a
             x += self.b
-            x ^= x >> np.uint32(15)
-            x *= np.uint32(0x2C1B3C6D)
             got = x.min(axis=1)
             out = got if out is None else np.minimum(out, got)
         return out
@@ -106,7 +107,7 @@ class Sketcher:
         odd = np.packbits((np.bincount(bit, minlength=self.bits) & 1).astype(np.uint8)).tobytes()
         key = np.arange(self.bands, dtype=np.uint64)
         for r in range(self.rows):
-            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + m.reshape(self.bands, self.rows)[:, r])
+            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + m[: self.bands * self.rows].reshape(self.bands, self.rows)[:, r])
         return key.view(np.int64).tolist(), odd
 
     def similarity(self, differing_bits: np.ndarray) -> np.ndarray:
@@ -129,20 +130,25 @@ def _table(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets have 100 * intersection >= percent * union. ``texts``: (rep, text), one row a class."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+def _sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(rep, s): the full sets of the wanted classes, as sorted 64-bit hashes."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reps, strings = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for x, y in by_bytes(strings):
                 yield _table([(r, shingle_set(t, shingle).tobytes()) for r, t in zip(reps[x:y], strings[x:y], strict=True)], [pa.int64(), pa.binary()], ["rep", "s"])
 
+    return settle(texts.join(wanted, "rep", "left_semi").mapInArrow(run, "rep long, s binary"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose full sets have 100 * intersection >= percent * union."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for a, b, x, y in zip(*(c for c in (batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3))), strict=True):
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     continue
@@ -151,15 +157,98 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
                     out.append((a, b))
             yield _table(out, [pa.int64(), pa.int64()], ["a", "b"])
 
-    full = settle(texts.join(wanted, "rep", "left_semi").mapInArrow(sets, "rep long, s binary"), "sets")
-    joined = pairs.join(full.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b").join(full.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a")
+    joined = pairs.join(sets.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a")
     return settle(joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, bits: int = 512, slack: float = 0.2, cell: int = 1024) -> DataFrame:
+def _candidates(work: DataFrame, make: Sketcher, least: float, percent: int, forest: bool) -> DataFrame:
+    """Pairs (a, b) across labels inside each task's rows (task, side, within, b, label, odd, size), by their sketches.
+
+    ``within``: all rows meet; otherwise rows of one side meet those of the other. ``forest``: only pairs that
+    join labels which no pair of a higher estimate has joined.
+    """
+
+    def compare(rows: list[tuple]) -> list[tuple]:
+        sketches, node, size = _rows_of([r[5] for r in rows]), [r[3] for r in rows], np.array([r[6] for r in rows])
+        label, side = np.array([r[4] for r in rows]), np.array([r[1] for r in rows])
+        within, found = rows[0][2], []
+        for i in range(len(rows)):
+            if within:
+                other = np.nonzero(label[i + 1 :] != label[i])[0] + i + 1
+            elif side[i]:
+                other = np.nonzero(~side & (label != label[i]))[0]
+            else:
+                continue
+            if len(other):
+                near = make.similarity(_xor_bits(sketches[other], sketches[i]))
+                # sets whose sizes differ that much can't be similar enough
+                keep = (near >= least) & (100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))
+                if keep.any():
+                    found.append((near[keep], np.full(int(keep.sum()), i), other[keep]))
+        if not found:
+            return []
+        near, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        if forest:
+            root, out = {x: x for x in label.tolist()}, []
+
+            def top(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            left = len(root) - 1
+            for k in np.argsort(-near, kind="stable").tolist():
+                x, y = top(int(label[i[k]])), top(int(label[j[k]]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((int(i[k]), int(j[k])))
+                    left -= 1
+                    if not left:
+                        break
+        else:
+            out = list(zip(i.tolist(), j.tolist(), strict=True))
+        return [(min(node[x], node[y]), max(node[x], node[y])) for x, y in out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, names, task, held = [pa.int64(), pa.int64()], ["a", "b"], None, []
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != task:
+                    if len(held) > 1:
+                        out += compare(held)
+                    task, held = row[0], []
+                held.append(row)
+            yield _table(out, kinds, names)
+        if len(held) > 1:
+            yield _table(compare(held), kinds, names)
+
+    return work.select("task", "side", "within", "b", "label", "odd", "size").repartition("task").sortWithinPartitions("task", "b").mapInArrow(run, "a long, b long").distinct()
+
+
+def _mixed_cells(labelled: DataFrame, cell: int) -> DataFrame:
+    """(task, side, within, b, label) for buckets of several labels, dealt into cells of about ``cell`` rows.
+
+    A small label goes whole to a cell by hash, a large one over cells of its own; two cells of one label don't meet.
+    """
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("bucket")
+    inside = labelled.join(mixed, "bucket").withColumn("cells", F.expr(f"cast(ceil(n / {cell}) as int)"))
+    sizes = inside.groupBy("bucket", "label").agg(F.count("*").alias("m"))
+    placed = inside.join(sizes, ["bucket", "label"]).withColumn(
+        "cell", F.expr(f"case when m > {cell} then concat(label, ':', pmod(xxhash64(b), cast(ceil(m / {cell}) as int))) else concat('s:', pmod(xxhash64(label), cells)) end")
+    ).withColumn("alone", F.expr(f"m > {cell}"))
+    cells = placed.select("bucket", "cell", "alone", F.expr("if(alone, label, -1)").alias("whose")).distinct()
+    meet = cells.alias("x").join(cells.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cell") <= F.col("y.cell"))).where(
+        "x.cell < y.cell and not (x.alone and y.alone and x.whose = y.whose) or x.cell = y.cell and not x.alone"
+    ).select(F.xxhash64("x.bucket", "x.cell", "y.cell").alias("task"), F.col("x.bucket").alias("bucket"), F.expr("explode(array_distinct(array(x.cell, y.cell)))").alias("cell"), F.expr("x.cell = y.cell").alias("within"), F.col("x.cell").alias("first_cell"))
+    return placed.join(meet, ["bucket", "cell"]).select("task", F.expr("cell = first_cell").alias("side"), "within", "b", "label")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, samples: int = 256, bits: int = 1024, slack: float = 0.12, first_bands: int = 8, cell: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links, its own included), kept."""
     own = two_columns(docs, key, text)
-    make = Sketcher(bands, rows, bits)
+    make = Sketcher(bands, rows, bits, samples)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, names = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()], ["doc_id", "n_shingles", "digest", "keys", "odd"]
@@ -176,70 +265,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     has_set = sketched.where("digest is not null and doc_id is not null")
     classes = has_set.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     # One row a class; a repeated row of the representative changes nothing.
-    reps = settle(has_set.join(classes, (has_set.digest == classes.digest) & (has_set.doc_id == classes.rep)).select("rep", "keys", "odd").dropDuplicates(["rep", "odd"]), "classes")
-    members = reps.select("rep", F.posexplode("keys").alias("band", "k")).select("rep", F.xxhash64("band", "k").alias("bucket"))
+    reps = settle(has_set.join(classes, (has_set.digest == classes.digest) & (has_set.doc_id == classes.rep)).select("rep", "keys", "odd", F.col("n_shingles").alias("size")).dropDuplicates(["rep", "odd"]), "classes")
+    members = reps.select("rep", F.posexplode("keys").alias("band", "k")).select("rep", "band", F.xxhash64("band", "k").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("a")).where("n > 1")
-    shared = settle(members.join(buckets, "bucket").select("bucket", "a", "n", F.col("rep").alias("b")), "buckets")
-
-    odd_of = reps.select("rep", "odd")
+    shared = settle(members.join(buckets, "bucket").select("bucket", "band", "a", "n", F.col("rep").alias("b")), "buckets")
+    odd_of = reps.select(F.col("rep").alias("b"), "odd", "size")
     texts = own.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text")
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (_rows_of(batch.column(c).to_pylist()) if batch.num_rows else np.empty((0, 1), np.uint64) for c in (2, 3))
-            keep = make.similarity(_xor_bits(a, b)) >= percent / 100 - slack
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    pairs = shared.where("a < b").select("a", "b").distinct()
-    pairs = pairs.join(odd_of.select(F.col("rep").alias("b"), F.col("odd").alias("odd_b")), "b").join(odd_of.select(F.col("rep").alias("a"), F.col("odd").alias("odd_a")), "a")
-    links = _confirmed(settle(pairs.select("a", "b", "odd_a", "odd_b").mapInArrow(likely, "a long, b long"), "likely"), texts, shingle, percent)
-    first = components(links, "a", "b")
-
-    # Buckets that hold several components: compare across them.
-    labelled = shared.join(first.withColumnsRenamed({"node": "b", "component": "label"}), "b", "left").select("bucket", "n", "b", F.coalesce("label", "b").alias("label"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("bucket")
-    inside = labelled.join(mixed, "bucket").withColumn("cells", F.expr(f"cast(ceil(n / {cell}) as int)"))
-    # A component keeps to few cells: small ones go whole to a cell by hash, large ones over several cells of their own.
-    sizes = inside.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.first("cells").alias("cells"))
-    placed = inside.join(sizes.select("bucket", "label", "m"), ["bucket", "label"]).withColumn(
-        "cell", F.expr(f"case when m > {cell} then concat(label, ':', pmod(xxhash64(b), cast(ceil(m / {cell}) as int))) else concat('s:', pmod(xxhash64(label), cells)) end")
-    ).withColumn("alone", F.expr(f"m > {cell}"))
-    cells = placed.select("bucket", "cell", "alone", F.expr("if(alone, label, -1)").alias("whose")).distinct()
-    meet = cells.alias("x").join(cells.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cell") <= F.col("y.cell"))).where(
-        "x.cell < y.cell and not (x.alone and y.alone and x.whose = y.whose) or x.cell = y.cell and not x.alone"
-    ).select(F.xxhash64("x.bucket", "x.cell", "y.cell").alias("task"), F.col("x.bucket").alias("bucket"), F.expr("explode(array_distinct(array(x.cell, y.cell)))").alias("cell"), F.expr("x.cell = y.cell").alias("within"), F.col("x.cell").alias("first_cell"))
-    work = placed.join(meet, ["bucket", "cell"]).join(odd_of.withColumnRenamed("rep", "b"), "b").select("task", F.expr("cell = first_cell").alias("side"), "within", "b", "label", "odd")
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compare(rows: list[tuple]) -> list[tuple]:
-            sketches = _rows_of([r[5] for r in rows])
-            label, side = np.array([r[4] for r in rows]), np.array([r[1] for r in rows])
-            within, out = rows[0][2], []
-            for i in range(len(rows)):
-                if within:
-                    other = np.nonzero(label[i + 1 :] != label[i])[0] + i + 1
-                elif side[i]:
-                    other = np.nonzero(~side & (label != label[i]))[0]
-                else:
-                    continue
-                if len(other):
-                    near = make.similarity(_xor_bits(sketches[other], sketches[i])) >= percent / 100 - slack
-                    out += [(min(rows[i][3], rows[j][3]), max(rows[i][3], rows[j][3])) for j in other[near]]
-            return out
-
-        task, held = None, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != task:
-                    if held and (found := compare(held)):
-                        yield _table(found, [pa.int64(), pa.int64()], ["a", "b"])
-                    task, held = row[0], []
-                held.append(row)
-        if held and (found := compare(held)):
-            yield _table(found, [pa.int64(), pa.int64()], ["a", "b"])
-
-    rest = settle(work.repartition("task").sortWithinPartitions("task").mapInArrow(across, "a long, b long").distinct(), "across")
-    final = components(links.unionByName(_confirmed(rest, texts, shingle, percent)), "a", "b")
+    sets = _sets(texts, shared.select(F.col("b").alias("rep")).distinct(), shingle)
+    least = percent / 100 - slack
+
+    # Buckets of the first bands, in cells by hash, the bucket's first class in each.
+    begin = shared.where(F.col("band") < first_bands).withColumn("cells", F.expr(f"cast(ceil(n / {cell}) as int)"))
+    dealt = begin.where("b != a").select("bucket", "b", F.expr("pmod(xxhash64(b), cells)").alias("g")).unionByName(begin.where("b = a").select("bucket", "b", F.expr("explode(sequence(0, cells - 1))").alias("g")))
+    work = dealt.select(F.xxhash64("bucket", "g").alias("task"), F.lit(True).alias("side"), F.lit(True).alias("within"), "b", F.col("b").alias("label"))
+    seen = settle(_candidates(work.join(odd_of, "b"), make, least, percent, True), "likely")
+    links = _confirmed(seen, sets, percent)
+
+    for forest in (True, False):
+        known = settle(components(links, "a", "b"), "components")
+        labels = known.withColumnsRenamed({"node": "b", "component": "label"})
+        labelled = shared.select("bucket", "n", "b").join(labels, "b", "left").withColumn("label", F.coalesce("label", "b"))
+        found = settle(_candidates(_mixed_cells(labelled, cell).join(odd_of, "b"), make, least, percent, forest).join(seen, ["a", "b"], "left_anti"), "likely")
+        links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_confirmed(found, sets, percent))
+        seen = seen.unionByName(found)
+    final = components(links, "a", "b")
 
     linked = classes.join(final.withColumnsRenamed({"node": "rep", "component": "to"}), "rep", "left").select("digest", F.coalesce("to", "rep").alias("to"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(linked, "digest", "left")
