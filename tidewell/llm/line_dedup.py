@@ -55,9 +55,12 @@ def _near(own: DataFrame, occurrences: DataFrame, firsts: DataFrame, fuzzy_chars
     deleted = settle(deleted.select("variant", "at", own_line), "variants")
     whole = texts.select(F.xxhash64("line").alias("variant"), own_line)
 
-    by_place = deleted.groupBy("variant", "at").agg(F.min("own").alias("witness"), F.count("*").alias("n")).where("n > 1").drop("n")
-    substituted = deleted.join(by_place, ["variant", "at"]).select("own", "witness")
-    longer = deleted.join(whole.withColumnRenamed("own", "other"), "variant")  # a whole line is one row
+    # Few variants occur twice: they are counted by key alone, and only their lines go on.
+    twice = settle(deleted.groupBy("variant", "at").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
+    met = deleted.join(_small(twice, most_broadcast), ["variant", "at"])
+    by_place = met.groupBy("variant", "at").agg(F.min("own").alias("witness"))
+    substituted = met.join(by_place, ["variant", "at"]).select("own", "witness")
+    longer = deleted.join(_small(whole.withColumnRenamed("own", "other"), most_broadcast), "variant")  # a whole line is one row
     shorter = longer.groupBy("variant").agg(F.min("own").alias("witness"), F.first("other").alias("own")).select("own", "witness")
     pairs = substituted.unionByName(longer.select("own", F.col("other").alias("witness"))).unionByName(shorter).where("witness.first < own.first").distinct()
 

@@ -15,9 +15,9 @@ anchor form a context: the bytes they cover.
   match lengths are streamed in text order: away from the samples each is one less than that of
   the byte before. Starts with a match of at least ``length`` are marked.
 * An anchor with more than ``most_contexts`` different contexts is split: its starts are cut
-  into halves by their distance from the anchor, and the key of a half takes in the bytes
-  which all strings of that half share. That repeats until groups are small; a half of one
-  start is its own string, so it ends in equal contexts.
+  into cells by their distance from the anchor, and the key of a cell takes in the bytes
+  which all strings of that cell share. That repeats, with a quarter of the width, until groups are
+  small; a cell of one start is its own string, so it ends in equal contexts.
 
 Defined cases: null text is empty; texts shorter than ``length`` stay; rows with equal doc_id
 and text are occurrences of each other; a null doc_id is an id like any other; no
@@ -231,14 +231,24 @@ def _first_contexts(own: DataFrame, length: int, piece: int = 1 << 22) -> DataFr
     return own.select("doc_id", "row", "text").mapInArrow(run, CONTEXTS)
 
 
-def _with_text(contexts: DataFrame, own: DataFrame) -> DataFrame:
+def _small(df: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _texts(contexts: DataFrame, own: DataFrame, most_broadcast: int) -> DataFrame:
+    """(doc_id, row, text) of the documents that have any of the contexts, once each."""
+    wanted = settle(contexts.select("doc_id", "row").distinct(), "wanted")
+    found = own.alias("t").join(_small(wanted, most_broadcast).alias("w"), F.expr("t.doc_id <=> w.doc_id and t.row = w.row"), "left_semi")
+    return settle(found.select("doc_id", "row", "text").dropDuplicates(["doc_id", "row"]), "texts")
+
+
+def _with_text(contexts: DataFrame, texts: DataFrame) -> DataFrame:
     """One row a document that has any: its contexts as an array, and its text."""
     per = contexts.groupBy("doc_id", "row").agg(F.collect_list(F.struct("anchor", "context", "low", "high", "place")).alias("c"))
-    texts = own.dropDuplicates(["doc_id", "row"])
     return per.alias("p").join(texts.alias("t"), F.expr("p.doc_id <=> t.doc_id and p.row = t.row")).select("p.doc_id", "p.row", "c", F.col("text").cast("binary").alias("data"))
 
 
-def _halved(contexts: DataFrame, own: DataFrame, length: int, width: int) -> DataFrame:
+def _split(contexts: DataFrame, texts: DataFrame, length: int, width: int) -> DataFrame:
     """The contexts cut into cells of ``width`` starts by distance from the anchor, under keys that take in what a cell's strings share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,37 +265,39 @@ def _halved(contexts: DataFrame, own: DataFrame, length: int, width: int) -> Dat
                     out.append((doc_id, row, int.from_bytes(key[:8], "little", signed=True), _digest(data[a - low : b + length - low]), a, b, place))
                 yield _table(out, kinds, names)
 
-    each = _with_text(contexts, own).select("doc_id", "row", "data", F.explode("c").alias("c"))
+    each = _with_text(contexts, texts).select("doc_id", "row", "data", F.explode("c").alias("c"))
     cut = each.select("doc_id", "row", "c.anchor", "c.low", "c.high", "c.place", F.expr(f"substring(data, cast(c.low as int) + 1, cast(c.high - c.low as int) + {length})").alias("data"))
     return cut.mapInArrow(run, CONTEXTS)
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, most_contexts: int = 1000, index_bytes: int = 1 << 21) -> DataFrame:
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, most_contexts: int = 3000, index_bytes: int = 1 << 21, most_broadcast: int = 200_000) -> DataFrame:
     """(doc_id, row, begin, end): bytes to remove, not merged; ``row`` is the hash of the text."""
     own = two_columns(docs, key, text).withColumn("row", F.xxhash64("text"))
-    contexts, marks, width = settle(_first_contexts(own, length), "contexts"), None, length
-    full = None
+    contexts, texts, width, marks = settle(_first_contexts(own, length), "contexts"), None, length, []
     while True:
-        counts = contexts.groupBy("anchor", "context").agg(F.count("*").alias("n"))
-        anchors = counts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
-        groups = settle(counts.join(anchors, "anchor").select("anchor", "context", "n", "kinds"), "groups")
-        equal = contexts.join(groups.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi")
-        found = equal.select("doc_id", "row", F.col("low").alias("begin"), (F.col("high") + length).alias("end"))
-        full = found if full is None else full.unionByName(found)
-        mixed = settle(
-            contexts.join(groups.where("kinds > 1").select("anchor", "context", "kinds"), ["anchor", "context"]).dropDuplicates(["anchor", "context"]), "mixed"
-        )
-        marks_here = _indexed(mixed.where(F.col("kinds") <= most_contexts).drop("kinds"), own, length, index_bytes)
-        marks = marks_here if marks is None else marks.unionByName(marks_here)
-        large = mixed.where(F.col("kinds") > most_contexts).drop("kinds")
+        # Most anchors occur once: they leave first, by their key alone.
+        again = settle(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
+        repeated = settle(contexts.join(_small(again, most_broadcast), "anchor"), "repeated")
+        counts = repeated.groupBy("anchor", "context").agg(F.count("*").alias("n"))
+        groups = settle(counts.join(counts.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor"), "groups")
+        judged = repeated.join(groups, ["anchor", "context"])
+        marks.append(settle(judged.where("n > 1").select("doc_id", "row", F.col("low").alias("begin"), (F.col("high") + length).alias("end")), "marks"))
+        mixed = settle(judged.where("kinds > 1").drop("n").dropDuplicates(["anchor", "context"]), "mixed")
+        texts = _texts(mixed, own if texts is None else texts, most_broadcast)
+        marks.append(settle(_indexed(mixed.where(F.col("kinds") <= most_contexts).drop("kinds"), texts, length, index_bytes), "marks"))
+        large = settle(mixed.where(F.col("kinds") > most_contexts).drop("kinds"), "large")
         if width == 1 or large.isEmpty():
             break
-        width = -(-width // 2)
-        contexts = settle(_halved(large, own, length, width), "contexts")
-    return full.unionByName(marks)
+        width = -(-width // 4)
+        texts = _texts(large, texts, most_broadcast)
+        contexts = settle(_split(large, texts, length, width), "contexts")
+    out = marks[0]
+    for m in marks[1:]:
+        out = out.unionByName(m)
+    return out
 
 
-def _indexed(mixed: DataFrame, own: DataFrame, length: int, index_bytes: int) -> DataFrame:
+def _indexed(mixed: DataFrame, texts: DataFrame, length: int, index_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["doc_id", "row", "begin", "end"], [pa.int64()] * 4
 
@@ -308,7 +320,7 @@ def _indexed(mixed: DataFrame, own: DataFrame, length: int, index_bytes: int) ->
         if held:
             yield marks(held)
 
-    each = _with_text(mixed, own).select("doc_id", "row", "data", F.explode("c").alias("c"))
+    each = _with_text(mixed, texts).select("doc_id", "row", "data", F.explode("c").alias("c"))
     cut = each.select("c.anchor", "doc_id", "row", "c.low", F.expr(f"substring(data, cast(c.low as int) + 1, cast(c.high - c.low as int) + {length})").alias("data"))
     return cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, row long, begin long, end long")
 

@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from itertools import chain
 
-import numpy as np
 from tokenizers import Tokenizer
 
 _LETTERS = "A-Za-z0-9À-ÖØ-öø-ÿ"
@@ -22,6 +22,8 @@ _WS = " \\t\\n\\r\\f\\v"
 _KEEPING = re.compile(f"[{_WS}]*+[{_LETTERS}]++(?=[.,!?;:{_WS}]|\\Z)|[{_WS}]*+[^{_WS}]+|[{_WS}]+\\Z")
 #: White space separates and is dropped.
 _DROPPING = re.compile(f"[{_LETTERS}]++(?=[.,!?;:{_WS}]|\\Z)|[^{_WS}]+")
+#: A unit of ASCII letters, after at most one blank: one word for either pre-tokenizer, which the model can be given as it is.
+_WORD = re.compile(" ?[A-Za-z]+").fullmatch
 _CUT = re.compile(f"(?<=[^{_WS}])[{_WS}]")
 _LONG = 1 << 20
 
@@ -35,16 +37,31 @@ class UnitTokenizer:
 
     def __init__(self, path: str, end_id: int | None = None, cache_units: int = 600_000):
         with open(path, encoding="utf-8") as f:
-            normalizer = json.load(f)["normalizer"]
+            self.folds = json.load(f)["normalizer"] is not None
         self.tokenizer = Tokenizer.from_file(path)
-        self.find = (_DROPPING if normalizer else _KEEPING).findall
+        self.model = self.tokenizer.model
+        self.find = (_DROPPING if self.folds else _KEEPING).findall
         self.end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         self.units: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
         self.cache_units = cache_units
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _word(self, unit: str) -> bytes:
+        word = unit.lower() if self.folds else unit.replace(" ", "\u0120")  # the byte-level sign of a blank
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _units(self, text: str) -> list[str]:
+        """Where the tokenizer folds case anyway, Latin-1 texts are folded first: fewer different units."""
+        if self.folds and "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return self.find(text)
 
     def _learn(self, wanted: set[str]) -> None:
         new = wanted.difference(self.units)
@@ -54,7 +71,9 @@ class UnitTokenizer:
             known = [u for u in new if u in self.old]
             self.units.update(zip(known, map(self.old.__getitem__, known), strict=True))
             new = new.difference(known)
-        new = list(new)
+        words = [u for u in new if _WORD(u)]
+        self.units.update(zip(words, map(self._word, words), strict=True))
+        new = list(new.difference(words))
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             self.units.update(zip(some, self._ids(some), strict=True))
@@ -79,7 +98,7 @@ class UnitTokenizer:
         return [(next(done) if len(t) <= _LONG else self._encode_long(t)) + self.end for t in texts]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        units = [self.find(t) for t in texts]
+        units = [self._units(t) for t in texts]
         self._learn(set(chain.from_iterable(units)))
         get, out = self.units.__getitem__, []
         for text, own in zip(texts, units, strict=True):
