@@ -33,6 +33,7 @@ columns are not looked at; texts are read whole.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,12 +41,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import settle, two_columns
+from tidewell.llm.common import WS, settle, two_columns
 from tidewell.llm.graph import components
 from tidewell.llm.tokens import by_bytes
 
-_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit over all others."""
@@ -54,31 +53,55 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_words: dict[bytes, int] = {}
+_SPACE = np.isin(np.arange(256), np.frombuffer(WS.encode(), np.uint8))
+_BREAK = re.compile(rb"[ \t\n\x0b\x0c\r]")
+#: A random 64-bit code of each byte, and the odd base whose powers tell the places in a word apart.
+_CODE = np.random.default_rng(3).integers(0, 2**64, 256, dtype=np.uint64)
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_PIECE = 1 << 22
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    try:
-        return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        if len(_words) > 400_000:
-            _words.clear()
-        for w in set(words):
-            if w not in _words:
-                _words[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+def _hashes_of_words(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of one piece, by array arithmetic on its bytes."""
+    b = np.frombuffer(b" " + data + b" ", np.uint8)
+    inside = ~_SPACE[b]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    length = edge[1::2] - edge[::2]
+    if not len(length):
+        return np.empty(0, np.uint64)
+    first = np.cumsum(length) - length
+    power = np.full(int(length.max()), _BASE, np.uint64)
+    power[0] = 1
+    power = np.cumprod(power, dtype=np.uint64)
+    place = np.arange(int(length.sum())) - np.repeat(first, length)
+    return _mix(np.add.reduceat(_CODE[b[inside]] * power[place], first) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _word_hashes(data: bytes) -> np.ndarray:
+    """The same of a whole text, cut at white space into pieces, so that a very long one needs little memory besides."""
+    if len(data) <= _PIECE:
+        return _hashes_of_words(data)
+    out, at = [], 0
+    while at < len(data):
+        end = m.end() if (m := _BREAK.search(data, at + _PIECE)) else len(data)
+        out.append(_hashes_of_words(data[at:end]))
+        at = end
+    return np.concatenate(out)
 
 
 def shingle_set(text: str, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles of a whole text."""
-    words = text.translate(_FOLD).encode().split() if not text.isascii() else text.lower().encode().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h, k = _word_hashes(words), min(k, len(words))
+    h = _word_hashes(text.encode().lower())  # of bytes, lower() folds A-Z alone
+    if not len(h):
+        return h
+    k = min(k, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
         out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+    out.sort()
+    new = np.ones(len(out), bool)
+    np.not_equal(out[1:], out[:-1], out=new[1:])
+    return out[new]
 
 
 class Sketcher:
