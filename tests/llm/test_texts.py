@@ -223,3 +223,34 @@ def test_license_rank_keeps_what_all_templates_would_give(spark):
                 if fits:
                     wanted[r.doc_id, i] = min(fits)[2]
     assert got == wanted and len(got) > 30
+
+
+def test_license_in_long_lines(spark):
+    prose = " ".join(f"word{i} and other{7 * i} things" for i in range(800))
+    assert len(prose) > 20000
+    names = list(license_scan.TEMPLATES)
+    docs = [(k, f"{prose} {license_scan.TEMPLATES[n]} {prose}") for k, n in enumerate(names)]
+    docs.append((100, f"{prose} Released under the MIT License. {prose} All rights reserved. {prose}"))
+    got = sorted((r.doc_id, r.license) for r in license_scan.scan(frame(spark, docs)).collect())
+    assert got == [*enumerate(names), (100, "MIT"), (100, "all-rights-reserved")]
+
+
+def test_license_anchors_against_word_differences():
+    rng = random.Random(11)
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, 12)
+    met = 0
+    for _ in range(400):
+        k = rng.randrange(len(scanner.words))
+        words = list(scanner.words[k])
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(words) + 1)
+            words[i : i + rng.randint(0, 1)] = rng.choice([[], ["x"], ["the"]])
+            words = words or ["x"]
+        words = ["x"] * rng.randint(0, 3) + words + ["license"] * rng.randint(0, 3)
+        least = {}
+        for j, n, *_ in scanner.matches(words):
+            least[j] = min(n, least.get(j, n))
+        exact = {j: license_scan.word_differences(t, words) for j, t in enumerate(scanner.words)}
+        assert least == {j: n for j, n in exact.items() if n <= scanner.most[j]}
+        met += k in least
+    assert met > 100
