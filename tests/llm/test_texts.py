@@ -254,3 +254,22 @@ def test_license_anchors_against_word_differences():
         assert least == {j: n for j, n in exact.items() if n <= scanner.most[j]}
         met += k in least
     assert met > 100
+
+
+def test_license_wrapped_over_lines(spark):
+    names = list(license_scan.TEMPLATES)
+    docs = []
+    for n in names:
+        words = license_scan.TEMPLATES[n].replace("* * *", "Jo Doe").split()
+        for wide in (2, 3, 7):
+            for sign in ("", " * ", "# ", "//"):
+                wrapped = "\n".join(sign + " ".join(words[i : i + wide]) for i in range(0, len(words), wide))
+                docs.append((len(docs), f"Some code\n{wrapped}\n\nmore of it"))
+    got = sorted((r.doc_id, r.line, r.license) for r in license_scan.scan(frame(spark, docs)).collect())
+    assert got == [(k, 1, names[k // 12]) for k in range(len(docs))]
+
+
+def test_license_named_with_one_other_word(spark):
+    docs = [(1, "Licensed under the MIT License."), (2, "Available under CC BY-SA 4.0"), (3, "We like the MIT License."), (4, "Released under the BSD License."), (5, "no rights reserved")]
+    got = sorted((r.doc_id, r.license, r.word_differences) for r in license_scan.scan(frame(spark, docs)).collect())
+    assert got == [(1, "MIT", 1), (2, "CC-BY-SA-4.0", 1)]
