@@ -38,3 +38,10 @@ def test_entry_registers_everything():
 
     assert set(QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_every_event_and_document_is_read(spark, data):
+    rows = QUERIES["cdc_decoded_every_line"](spark, data)
+    assert rows.count() == rows.select("seq").distinct().count() == spark.read.parquet(f"{data}/events.parquet").count()
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("text is not null")
+    assert QUERIES["flat_map_documents"](spark, data).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()

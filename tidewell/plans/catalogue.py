@@ -48,6 +48,11 @@ def flat_map_tokens(spark, d):
     return events(spark, d).select("seq", F.explode(F.split(F.concat_ws(" ", "event_type", "user_id"), " ")).alias("token"))
 
 
+@query("SELECT doc_id, t AS token FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS t FROM documents)")
+def flat_map_documents(spark, d):
+    return load(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("token"))
+
+
 @query("SELECT event_id AS seq, value > 50 AND event_type = 'click' AS both_hold, value > 50 OR event_type = 'click' AS either, NOT (value > 50) AS neither FROM events")
 def pattern_algebra(spark, d):
     a, b = F.col("value") > 50, F.col("event_type") == "click"
@@ -697,6 +702,12 @@ def cdc_decoded_lines(spark, d):
     return cdc.decoded_lines(lines).select(F.col("key").cast("bigint").alias("seq"), "database", F.element_at("after", "text").alias("text"))
 
 
+@query("SELECT event_id AS seq, 'shop' AS database, 'it''s ' || event_type AS text FROM events")
+def cdc_decoded_every_line(spark, d):
+    lines = events(spark, d).select(F.concat(F.lit("table shop.t: INSERT: id[bigint]:"), F.col("seq").cast("string"), F.lit(" text[text]:'it''s "), F.col("event_type"), F.lit("'")).alias("value"))
+    return cdc.decoded_lines(lines).select(F.col("key").cast("bigint").alias("seq"), "database", F.element_at("after", "text").alias("text"))
+
+
 # Sources
 
 @query("SELECT i AS seq, i AS ms, v FROM (SELECT CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS i, unnest(l) AS v FROM (SELECT ['a', 'b', 'c'] AS l))")
