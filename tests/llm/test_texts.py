@@ -273,3 +273,13 @@ def test_license_named_with_one_other_word(spark):
     docs = [(1, "Licensed under the MIT License."), (2, "Available under CC BY-SA 4.0"), (3, "We like the MIT License."), (4, "Released under the BSD License."), (5, "no rights reserved")]
     got = sorted((r.doc_id, r.license, r.word_differences) for r in license_scan.scan(frame(spark, docs)).collect())
     assert got == [(1, "MIT", 1), (2, "CC-BY-SA-4.0", 1)]
+
+
+def test_clean_texts_of_other_scripts_are_kept(spark):
+    forms = {"Cyrillic": "слово{}ами", "Greek": "λέξη{}", "Arabic": "كلمة{}", "Hebrew": "מילה{}", "Devanagari": "शब्द{}", "Thai": "ประโยคภาษาไทยที่ยาวมาก{}", "Chinese": "这是一个没有空格的很长的中文句子{}", "Japanese": "これはとてもながいにほんごのぶんしょうです{}"}
+    docs = [(k, "USA " + " ".join(form.format(i) for i in range(80))) for k, form in enumerate(forms.values())]
+    shouts = [(100, " ".join(f"WORD{i} É" for i in range(80))), (101, " ".join(f"averyverylongword{i}é" for i in range(80)))]
+    assert sorted((r.doc_id, r.kept) for r in quality_rules.judge(frame(spark, docs + shouts)).collect()) == [*((k, True) for k in range(len(forms))), (100, False), (101, False)]
+    for _, t in docs:
+        assert quality_model.poor_votes(quality_model.Text.of(t), [])[-1] == 0
+    assert quality_model.poor_votes(quality_model.Text.of(shouts[0][1]), [])[-1] == 1

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import two_columns
-from tidewell.llm.quality_rules import repeated_words
+from tidewell.llm.quality_rules import mostly_capitals, repeated_words
 from tidewell.llm.tokens import by_bytes
 
 #: Common English insults.
@@ -113,13 +113,12 @@ class Text:
 def poor_votes(t: Text, _stems: list[list[str]]) -> tuple[int, ...]:
     """1: speaks for a poor text; 0: abstains. Marks, repetition and shouting are each looked at in more ways than one."""
     n, text = max(1, t.n_words), t.text
-    upper, lower = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")), sum(map(text.count, "abcdefghijklmnopqrstuvwxyz"))
     marks = sum(map(text.count, "#*$%&|<>"))
     marked = sum(c for shape, c in t.shapes.items() if any(x in shape for x in "#*$%&|<>"))
     return (
         int(10 * marks > 3 * n), int(4 * marked > n),
         int(2 * t.repeats > n), int(4 * t.adjacent > n), int(n >= 50 and 4 * len(t.words) < n),
-        int(10 * text.count("!") > 3 * n), int(n >= 10 and upper > lower),
+        int(10 * text.count("!") > 3 * n), int(n >= 10 and mostly_capitals(text)),
     )
 
 

@@ -6,6 +6,9 @@ it. Their order comes from a bounded sample: each rule's seconds a document and
 rejected documents are measured, and rules run by rejections per second. The verdict is the
 same in any order.
 
+Capitals are weighed against the letters of every alphabet, and long words don't count
+against scripts that are written without spaces.
+
 Defined cases: null or empty text has no words and fails the base; a repeated row is judged
 as often as it occurs; no documents give no rows; other columns, whatever their names,
 are kept by ``passing`` and not looked at by ``judge``; texts of any length are read whole.
@@ -13,6 +16,7 @@ are kept by ``passing`` and not looked at by ``judge``; texts of any length are
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -25,6 +29,8 @@ from tidewell.llm.common import WS, two_columns
 from tidewell.llm.tokens import by_bytes
 
 SYMBOLS = "#*$%&|<>"
+#: Thai, Lao, Myanmar, Khmer; CJK signs, kana, ideographs and full-width forms. Korean uses spaces.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3001-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff9f\U00020000-\U0003ffff]+")
 FIGURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
 
@@ -78,17 +84,27 @@ def many_equal_lines(text: str, f: tuple) -> bool:
     return 5 * f[3] > 4 * sum(1 for x in text.split("\n") if x.strip(WS))
 
 
+def without_spaces(text: str, f: tuple) -> bool:
+    """Whether over half of a text's word characters belong to scripts that don't part words by spaces."""
+    return not text.isascii() and 2 * sum(map(len, _UNSPACED.findall(text))) > f[1]
+
+
 def odd_word_length(text: str, f: tuple) -> bool:
-    return not 2 * f[0] <= f[1] <= 14 * f[0]
+    return f[1] < 2 * f[0] or (f[1] > 14 * f[0] and not without_spaces(text, f))
 
 
 def many_exclamations(text: str, f: tuple) -> bool:
     return 100 * text.count("!") > 30 * f[0]
 
 
+def mostly_capitals(text: str) -> bool:
+    """Whether ASCII capitals are over half of the ASCII letters and the letters of other alphabets."""
+    upper, lower = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")), sum(map(text.count, "abcdefghijklmnopqrstuvwxyz"))
+    return upper > lower and (text.isascii() or upper > lower + sum(c.isalpha() for c in text if c > "\x7f"))
+
+
 def shouted(text: str, f: tuple) -> bool:
-    upper = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    return upper > sum(map(text.count, "abcdefghijklmnopqrstuvwxyz"))
+    return mostly_capitals(text)
 
 
 def few_letters(text: str, f: tuple) -> bool:
