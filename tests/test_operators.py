@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import scalar
-from tidewell.operators import analytics, cdc, cep, joins, log, registry, reliability, windows
+from tidewell.operators import aggregates, analytics, cdc, cep, joins, log, registry, reliability, windows
 from tidewell.operators.table import UpsertTable
 from tidewell.sources import sinks, sources
 from tidewell.stream import Stream, sliding_ms, tumbling_ms
@@ -207,3 +207,13 @@ def test_sources_and_sinks(spark, tmp_path):
     for n, df in ((0, batch), (1, batch.union(spark.createDataFrame([("c",)], "id string"))), (1, batch.union(spark.createDataFrame([("c",)], "id string")))):
         write(df, n)
     assert rows(spark.read.parquet(str(tmp_path / "i")), "id") == [("a",), ("b",), ("c",)]
+
+
+def test_running_fold_streams_a_key_of_many_rows(spark):
+    n = 200_000  # an array of folds that is copied at every row doesn't get there
+    rows = spark.range(n).select(F.when(F.col("id") % 3 > 0, 1).otherwise(2).cast("long").alias("k"), F.col("id").alias("seq"), (F.col("id") * 7919 % n).cast("double").alias("v"))
+    own = rows.unionByName(spark.createDataFrame([(None, 1, 5.0), (None, 2, None), (None, 3, float("nan")), (None, 4, 6.0)], "k long, seq long, v double"))
+    got = aggregates.running_fold(own, "k", "seq", "v", float("-inf"), aggregates.greatest, "fold")
+    wanted = aggregates.running(rows, ["k"], F.col("v"), "fold", "max").select("k", "seq", "fold")
+    assert got.where("k is not null").exceptAll(wanted).count() == 0 and got.count() == n + 4
+    assert [str(r.fold) for r in got.where("k is null").orderBy("seq").collect()] == ["5.0", "5.0", "nan", "nan"]

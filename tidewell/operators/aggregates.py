@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,17 +58,32 @@ def running(df: DataFrame, keys: list[str], value: Column, name: str, how: str =
     return df.withColumn(name, fold(value).over(by))
 
 
-def running_fold(df: DataFrame, key: str, seq: str, value: str, start: Column, step: Callable[[Column, Column], Column], name: str) -> DataFrame:
-    """Any reducer, as a Column function, over a key's rows by arrival: one row a key with all its folds, exploded again.
+def running_fold(df: DataFrame, key: str, seq: str, value: str, start: float, step: Callable[[float, object], float], name: str) -> DataFrame:
+    """Any reducer, as a Python function of fold and value, over a key's rows by arrival: the fold at each row.
 
-    For reducers without a window function. A key's values are held as one array; the array of folds grows with it.
+    For reducers without a window function. Each key is streamed in its order, and only its fold is held.
     """
-    grouped = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(seq, value))).alias("__all"))
-    folds = F.aggregate(
-        "__all", F.struct(start.alias("acc"), F.array().cast(f"array<struct<{seq}:bigint,acc:{'double'}>>").alias("out")),
-        lambda s, x: F.struct(step(s["acc"], x[value]).alias("acc"), F.concat(s["out"], F.array(F.struct(x[seq].cast("bigint").alias(seq), step(s["acc"], x[value]).cast("double").alias("acc")))).alias("out")),
-    )["out"]
-    return grouped.select(key, F.explode(folds).alias("__f")).select(key, F.col(f"__f.{seq}").alias(seq), F.col("__f.acc").alias(name))
+    own = df.select(key, F.col(seq).cast("bigint").alias(seq), value)
+    kind = dict(own.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fold, begun = None, start, False
+        for batch in batches:
+            folds = []
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not begun or k != now:
+                    now, fold, begun = k, start, True
+                fold = step(fold, x)
+                folds.append(fold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(folds, pa.float64())], names=[key, seq, name])
+
+    dealt = own.repartition(key).sortWithinPartitions(key, seq, value)
+    return dealt.mapInArrow(run, f"{key} {kind[key]}, {seq} bigint, {name} double")
+
+
+def greatest(fold: float, x: float | None) -> float:
+    """The larger one; null is passed over, NaN is above all."""
+    return fold if x is None or fold != fold or x <= fold else x
 
 
 def window_elements(df: DataFrame, keys: list[str], value: str, seq: str = "seq") -> DataFrame:

@@ -77,7 +77,7 @@ def keyed_running_max(spark, d):
 @query("SELECT seq, user_id, max(value) OVER w AS fold FROM $EV WINDOW w AS (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING)")
 def keyed_custom_reduce(spark, d):
     ev = events(spark, d).select("user_id", "seq", "value")
-    return aggregates.running_fold(ev, "user_id", "seq", "value", F.lit(float("-inf")), lambda acc, x: F.greatest(acc, x), "fold")
+    return aggregates.running_fold(ev, "user_id", "seq", "value", float("-inf"), aggregates.greatest, "fold")
 
 
 # Windows
