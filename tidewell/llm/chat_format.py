@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewell.llm.common import settle
+from tidewell.llm.common import in_arrow, settle
 from tidewell.llm.tokens import tokenizer
 
 #: Stands for a null conversation id between the steps, where joins need a value.
@@ -139,7 +139,7 @@ def _turns(conversations: DataFrame, path: str, loss_roles: tuple[str, ...]) ->
 
     own = conversations.select(F.coalesce("conv_id", F.lit(_NULL_ID)).alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(run, "conv_id long, k int, node binary, role string, ids binary, loss_start int, loss_length int")
+    return dealt.transform(in_arrow, run, "conv_id long, k int, node binary, role string, ids binary, loss_start int, loss_length int")
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -182,7 +182,7 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str, loss_rol
             yield _batch(rows, [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.int64()], ["part", "first", "first_sizes", "last", "last_sizes", "n"])
 
     opened, place, path = {}, 0, b""
-    rows = ends.select("part", "path", "sizes").mapInArrow(bounds, "part long, first binary, first_sizes array<long>, last binary, last_sizes array<long>, n long").collect()
+    rows = ends.select("part", "path", "sizes").transform(in_arrow, bounds, "part long, first binary, first_sizes array<long>, last binary, last_sizes array<long>, n long").collect()
     for r in sorted(rows, key=lambda r: r["part"]):  # a row for each range
         opened[r["part"]] = (place, path)
         shared = _common(path, bytes(r["first"]))
@@ -209,7 +209,7 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str, loss_rol
 
         yield from _batches(rows(), [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_()], ["conv_id", "k", "node", "place", "new"])
 
-    laid = settle(ends.select("part", "conv_id", "path", "sizes").mapInArrow(lay_out, "conv_id long, k int, node binary, place long, new boolean"), "laid")
+    laid = settle(ends.select("part", "conv_id", "path", "sizes").transform(in_arrow, lay_out, "conv_id long, k int, node binary, place long, new boolean"), "laid")
     # A path that is open across a range's border was laid out in an earlier range: fill in those places from the node's only new row.
     carried = laid.where("place is null").select("node").distinct()
     known = laid.where("new").join(carried, "node", "left_semi").select("node", F.col("place").alias("known"))
@@ -237,7 +237,7 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str, loss_rol
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
         yield from _batches(rows(), kinds, ["place", "length", "position", "depth", "role", "ids", "loss_start", "loss_length", "attends"])
 
-    segments = parts.select("place", "k", "role", "ids", "loss_start", "loss_length", F.expr("transform(t, x -> x.place)").alias("places"), "sizes").mapInArrow(emit, SEGMENTS)
+    segments = parts.select("place", "k", "role", "ids", "loss_start", "loss_length", F.expr("transform(t, x -> x.place)").alias("places"), "sizes").transform(in_arrow, emit, SEGMENTS)
     return segments, references.select(F.when(F.col("conv_id") != _NULL_ID, F.col("conv_id")).alias("conv_id"), F.col("k").alias("turn_index"), "place")
 
 
@@ -282,4 +282,4 @@ def read_back(segments: DataFrame, references: DataFrame, tokenizer_path: str) -
 
     joined = references.join(segments.select("place", "ids", "loss_start", "loss_length"), "place")
     dealt = joined.select("conv_id", "turn_index", "ids", "loss_start", "loss_length").repartition("conv_id").sortWithinPartitions("conv_id", "turn_index")
-    return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return dealt.transform(in_arrow, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,14 +21,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where that is unset, a local one (single-node runs and tests)."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, a local one for a local master, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidewell-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Bytes of rows that Spark hands to Python at once: a worker holds a batch as Arrow data, as Python objects and as output.
+BATCH_BYTES = 4 << 20
+
+
+def _give_back() -> None:
+    """Free memory of the worker goes back to the system, so that an idle worker is small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` over batches of bounded bytes; the session's limit is lowered to ``BATCH_BYTES``, never raised."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name, None)
+    if now is None or not 0 < int(re.match(r"-?\d+", now)[0]) <= BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return df.mapInArrow(small, schema)
+
+
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

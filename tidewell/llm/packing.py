@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import settle, two_columns
+from tidewell.llm.common import in_arrow, settle, two_columns
 from tidewell.llm.tokens import by_bytes, tokenizer
 
 #: ids: little-endian unsigned 32-bit; start and doc_tokens: in the document; offset: in the sequence.
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
 
         return run
 
-    done = settle(two_columns(docs, key, text).mapInArrow(first_round, PIECES), "packed")
+    done = settle(two_columns(docs, key, text).transform(in_arrow, first_round, PIECES), "packed")
     closed, level = done.where("not open"), 1
     left = done.where("open")
     groups = left.select(F.expr("shiftright(sequence_id, 32) & 67108863").alias("p")).distinct().count()
@@ -154,7 +154,7 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
         merged = (
             left.withColumn("__to", F.expr(f"(shiftright(sequence_id, 32) & 67108863) % {groups}"))
             .repartition(groups, "__to").sortWithinPartitions("sequence_id", "offset")
-            .select("sequence_id", "offset", "doc_id", "start", "ids", "doc_tokens").mapInArrow(merge_round(level), PIECES)
+            .select("sequence_id", "offset", "doc_id", "start", "ids", "doc_tokens").transform(in_arrow, merge_round(level), PIECES)
         )
         merged = settle(merged, "packed")
         closed, left, level = closed.unionByName(merged.where("not open")), merged.where("open"), level + 1

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import two_columns
+from tidewell.llm.common import in_arrow, two_columns
 from tidewell.llm.quality_rules import mostly_capitals, repeated_words
 from tidewell.llm.tokens import by_bytes
 
@@ -220,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _one_row(json.dumps(_mine((b.select(["toxic", "text"]) for b in batches), parts, most_stems)), "mined")
 
-    mined = json.loads(sample.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(mine, "mined string").first()["mined"])
+    mined = json.loads(sample.repartition(1).sortWithinPartitions("doc_id", "text").transform(in_arrow, mine, "mined string").first()["mined"])
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             keys = list(found)
             yield pa.RecordBatch.from_pydict({"name": pa.array([k[0] for k in keys], pa.string()), "pattern": pa.array([k[1] for k in keys], pa.string()), "n": pa.array([found[k] for k in keys], pa.int64())})
 
-    counts = own.select("text").mapInArrow(vote, "name string, pattern string, n long").groupBy("name", "pattern").agg(F.sum("n").alias("n")).collect()  # at most 2^labellers rows
+    counts = own.select("text").transform(in_arrow, vote, "name string, pattern string, n long").groupBy("name", "pattern").agg(F.sum("n").alias("n")).collect()  # at most 2^labellers rows
     posterior, chances = {}, {}
     for name in VOTES:
         posterior[name], chance = estimate({tuple(map(int, r["pattern"])): r["n"] for r in sorted(counts, key=lambda r: r["pattern"]) if r["name"] == name})
@@ -249,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         yield _one_row(json.dumps({name: train(r, most_features) if r else {"bias": -1.0, "weights": {}} for name, r in rows.items()}), "model")
 
     chosen = _about(own, own.count(), train_docs)
-    found = chosen.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(learn, "model string").first()
+    found = chosen.repartition(1).sortWithinPartitions("doc_id", "text").transform(in_arrow, learn, "model string").first()
     return {"scorers": json.loads(found["model"]), "labellers": chances}
 
 
@@ -270,4 +270,4 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text")
             keep = [x < 0.5 and y < 0.5 for x, y in zip(p["poor"], p["toxic"], strict=True)]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, pa.int64()), "p_poor": pa.array(p["poor"], pa.float64()), "p_toxic": pa.array(p["toxic"], pa.float64()), "kept": pa.array(keep, pa.bool_())})
 
-    return two_columns(docs, key, text).mapInArrow(run, "doc_id long, p_poor double, p_toxic double, kept boolean")
+    return two_columns(docs, key, text).transform(in_arrow, run, "doc_id long, p_poor double, p_toxic double, kept boolean")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import WS, two_columns
+from tidewell.llm.common import WS, in_arrow, two_columns
 from tidewell.llm.tokens import by_bytes
 
 SYMBOLS = "#*$%&|<>"
@@ -141,7 +141,7 @@ def cascade_order(docs: DataFrame, text: str = "text", sample_docs: int = 2000,
 
     total = docs.count()
     some = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).sample(min(1.0, sample_docs / max(1, total)), seed)
-    rows = some.mapInArrow(measure, "rule string, seconds double, rejected long, seen long").groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("r"), F.sum("seen").alias("n")).collect()
+    rows = some.transform(in_arrow, measure, "rule string, seconds double, rejected long, seen long").groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("r"), F.sum("seen").alias("n")).collect()
     worth = {r["rule"]: ((r["r"] + 0.5) / (r["n"] + 1)) / ((r["s"] + 1e-9) / (r["n"] + 1)) for r in rows}
     return sorted(RULES, key=lambda name: (-worth.get(name, 0.0), name))
 
@@ -162,7 +162,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs:
                 rows = [(k, *(f := figures(t)), base_failed(f), verdict(t, f, order)) for k, t in zip(keys[a:b], texts[a:b], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in FIGURES.split(", ")])
 
-    return two_columns(docs, key, text).mapInArrow(run, FIGURES)
+    return two_columns(docs, key, text).transform(in_arrow, run, FIGURES)
 
 
 def passing(docs: DataFrame, text: str = "text", sample_docs: int = 2000) -> DataFrame:
@@ -174,4 +174,4 @@ def passing(docs: DataFrame, text: str = "text", sample_docs: int = 2000) -> Dat
             keep = [verdict(t or "", figures(t or ""), order) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_arrow, run, docs.schema)

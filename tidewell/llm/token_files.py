@@ -35,7 +35,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import settle, shared_dir, two_columns
+from tidewell.llm.common import in_arrow, settle, shared_dir, two_columns
 from tidewell.llm.tokens import by_bytes, tokenizer
 
 MAGIC = b"TIDEWTK1"
@@ -176,7 +176,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text
 
     shards = (
         two_columns(docs, key, text).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-        .mapInArrow(write, "shard long, path string, documents long, ids long")
+        .transform(in_arrow, write, "shard long, path string, documents long, ids long")
     )
     manifest = settle(shards, "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
@@ -206,4 +206,4 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "n_tokens", "ids"])
 
     spread = manifest.select("path", "ids_before").repartition(max(1, manifest.count()))  # a task for about each shard
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return spread.transform(in_arrow, read, "doc_id long, start long, n_tokens long, ids binary")

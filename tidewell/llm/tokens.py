@@ -1,18 +1,23 @@
 """Token ids as bytes, with a bounded cache of text units in front of a ``tokenizers`` file.
 
 A text is cut only at places where no token of the two supported pre-tokenizers can reach
-across: before ASCII white space that follows a non-space, and between letters or digits and
-the marks ``.,!?;:``. Each unit is then encoded by the library itself, once per worker and
-cache life. Units with other kinds of white space send their whole text to the library.
+across. First at single blanks; the ids of most pieces are known by then, and a word of
+letters is given to the library's model as it is. Other pieces are cut further: before ASCII
+white space that follows a non-space, and between letters or digits and the marks ``.,!?;:``.
+Each such unit is encoded by the library. Texts with doubled or outer blanks are cut by units
+alone; units with other kinds of white space send their whole text to the library. Caches
+are bounded in entries, each of which is short.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from array import array
-from itertools import chain
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 _LETTERS = "A-Za-z0-9À-ÖØ-öø-ÿ"
@@ -22,96 +27,156 @@ _WS = " \\t\\n\\r\\f\\v"
 _KEEPING = re.compile(f"[{_WS}]*+[{_LETTERS}]++(?=[.,!?;:{_WS}]|\\Z)|[{_WS}]*+[^{_WS}]+|[{_WS}]+\\Z")
 #: White space separates and is dropped.
 _DROPPING = re.compile(f"[{_LETTERS}]++(?=[.,!?;:{_WS}]|\\Z)|[^{_WS}]+")
-#: A unit of ASCII letters, after at most one blank: one word for either pre-tokenizer, which the model can be given as it is.
-_WORD = re.compile(" ?[A-Za-z]+").fullmatch
+#: Of Latin-1 alone.
+_LATIN = re.compile("[\\0-\xff]*").fullmatch
 _CUT = re.compile(f"(?<=[^{_WS}])[{_WS}]")
-_LONG = 1 << 20
+#: The byte-level signs of all bytes: what prints stands for itself.
+_SIGNS = {b: chr(b) for b in (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))}
+_SIGNS |= {b: chr(0x100 + k) for k, b in enumerate(x for x in range(256) if x not in _SIGNS)}
+
+
+class _Cache(dict):
+    """Two generations of ids by text: a full one becomes the old one, from which what is still in use is taken over.
+
+    ``find`` gives the ids of what neither knows. Only short texts are kept.
+    """
+
+    def __init__(self, find: Callable[[str], bytes], most: int, longest: int = 48):
+        self.find, self.most, self.longest = find, most, longest
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.old.get(text)
+        if ids is None:
+            ids = self.find(text)
+        if len(text) <= self.longest:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[text] = ids
+        return ids
+
+
+class _Odd(Exception):
+    """A piece that isn't to be cut out of its text."""
 
 
 class UnitTokenizer:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers.
+    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers, the end id behind them.
 
-    Only units that aren't cached reach the library. A cache that is full becomes the old
-    one, from which what is still in use is taken over.
+    ``long_chars``: longer texts are read in segments of about half of it.
     """
 
-    def __init__(self, path: str, end_id: int | None = None, cache_units: int = 600_000):
-        with open(path, encoding="utf-8") as f:
-            self.folds = json.load(f)["normalizer"] is not None
+    def __init__(self, path: str, end_id: int | None = None, cache_units: int = 500_000, long_chars: int = 1 << 20):
         self.tokenizer = Tokenizer.from_file(path)
+        self.folds = self.tokenizer.normalizer is not None
         self.model = self.tokenizer.model
-        self.find = (_DROPPING if self.folds else _KEEPING).findall
+        self.cut = (_DROPPING if self.folds else _KEEPING).findall
         self.end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-        self.units: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
-        self.cache_units = cache_units
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _word(self, unit: str) -> bytes:
-        word = unit.lower() if self.folds else unit.replace(" ", "\u0120")  # the byte-level sign of a blank
-        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-
-    def _units(self, text: str) -> list[str]:
-        """Where the tokenizer folds case anyway, Latin-1 texts are folded first: fewer different units."""
-        if self.folds and "<|" not in text:
+        self.long_chars = long_chars
+        self.units = _Cache(self._unit, cache_units // 4)
+        self.pieces = _Cache(self._piece, cache_units)
+        self.marks = {m: self._ids(m) for m in ".,!?;:"}
+
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of Latin-1 letters behind a blank, which the model can be given as they are."""
+        if self.folds:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_SIGNS)
+        return array("I", [t.id for t in self.model.tokenize(word if self.folds else "\u0120" + word)]).tobytes()  # the sign of a blank
+
+    def _unit(self, unit: str) -> bytes:
+        if (not unit.isascii() or min(unit) < " ") and _ODD.search(unit):
+            raise _Odd
+        return self._ids(unit)
+
+    def _of_units(self, text: str) -> bytes:
+        """Ids by units. Where the tokenizer folds case anyway, Latin-1 texts are folded first: fewer different units."""
+        if self.folds and "<|" not in text and _LATIN(text):
+            text = text.lower()
+        return b"".join(map(self.units.__getitem__, self.cut(text)))
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of what stands between two blanks, the one before it included."""
+        if piece.isalpha() and _LATIN(piece):
+            return self._word(piece)
+        mark = self.marks.get(piece[-1:])
+        if mark and (word := piece[:-1]).isalpha() and _LATIN(word):
+            return self.pieces[word] + mark
+        if self.folds:
+            return self._of_units(piece)
+        if not piece or piece[-1].isspace():  # a blank next to other white space belongs to it
+            raise _Odd
+        return self._of_units(" " + piece)
+
+    def _by_units(self, text: str) -> bytes:
+        try:
+            return self._of_units(text)
+        except _Odd:
+            return self._ids(text)
+
+    def _known_piece(self, piece: str) -> bytes | None:
+        try:
+            return self.pieces[piece]
+        except _Odd:
+            return None
+
+    def _short(self, texts: list[str]) -> list[bytes]:
+        """By pieces: Arrow splits the texts and numbers the different pieces, so that Python sees each once."""
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        numbered = lists.flatten().dictionary_encode()
+        index, pieces = numbered.indices.to_numpy(zero_copy_only=False).copy(), numbered.dictionary.to_pylist()
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        starts = np.r_[0, ends[:-1]]
+        first, inverse = np.unique(index[starts], return_inverse=True)  # a text's first piece has no blank before it
+        try:
+            ids: list[bytes | None] = list(map(self.pieces.__getitem__, pieces))
+        except _Odd:
+            ids = list(map(self._known_piece, pieces))
+        for k in first.tolist():
             try:
-                text.encode("latin-1")
-                text = text.lower()
-            except UnicodeEncodeError:
-                pass
-        return self.find(text)
-
-    def _learn(self, wanted: set[str]) -> None:
-        new = wanted.difference(self.units)
-        if len(self.units) + len(new) > self.cache_units:
-            self.old, self.units, new = self.units, {}, wanted
-        if self.old:
-            known = [u for u in new if u in self.old]
-            self.units.update(zip(known, map(self.old.__getitem__, known), strict=True))
-            new = new.difference(known)
-        words = [u for u in new if _WORD(u)]
-        self.units.update(zip(words, map(self._word, words), strict=True))
-        new = list(new.difference(words))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            self.units.update(zip(some, self._ids(some), strict=True))
-        for u in new:
-            if (not u.isascii() or min(u) < " ") and _ODD.search(u):
-                self.units[u] = None
+                ids.append(self._of_units(pieces[k]))
+            except _Odd:
+                ids.append(None)
+        index[starts] = inverse + len(pieces)
+        odd = np.zeros(0, np.int64)
+        if None in ids:
+            none = np.array([x is None for x in ids])
+            odd = np.nonzero(np.logical_or.reduceat(none[index], starts))[0]
+            ids = [x or b"" for x in ids]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        raw = memoryview(table.take(pa.array(index)).flatten().to_numpy(zero_copy_only=False)).cast("B")
+        ends = (4 * np.cumsum(np.add.reduceat(size[index], starts))).tolist()
+        out = [bytes(raw[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        for k in odd.tolist():
+            out[k] = self._by_units(texts[k])
+        return out
 
     def _segments(self, text: str):
-        """Bounded pieces of a very long text, cut before white space that follows a non-space."""
+        """Bounded segments of a very long text, cut before white space that follows a non-space."""
         at = 0
-        while len(text) - at > _LONG:
-            cut = _CUT.search(text, at + _LONG // 2)
+        while len(text) - at > self.long_chars:
+            cut = _CUT.search(text, at + self.long_chars // 2)
             if not cut:
                 break
             yield text[at : cut.start()]
             at = cut.start()
         yield text[at:]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        short = [t for t in texts if len(t) <= _LONG]
-        done = iter(self._encode(short))
-        return [(next(done) if len(t) <= _LONG else self._encode_long(t)) + self.end for t in texts]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        units = [self._units(t) for t in texts]
-        self._learn(set(chain.from_iterable(units)))
-        get, out = self.units.__getitem__, []
-        for text, own in zip(texts, units, strict=True):
-            try:
-                out.append(b"".join(map(get, own)))
-            except TypeError:
-                out.append(self._ids([text])[0])
-        return out
-
-    def _encode_long(self, text: str) -> bytes:
+    def _long(self, text: str) -> bytes:
         if _ODD.search(text):
-            return self._ids([text])[0]
-        return b"".join(self._encode([s])[0] for s in self._segments(text))
+            return self._ids(text)
+        return b"".join(map(self._by_units, self._segments(text)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        short = [t for t in texts if len(t) <= self.long_chars]
+        done = iter(self._short(short) if short else ())
+        return [(next(done) if len(t) <= self.long_chars else self._long(t)) + self.end for t in texts]
 
 
 _known: dict[tuple, UnitTokenizer] = {}
