@@ -64,6 +64,17 @@ def test_empty_and_repeated(spark):
     assert kept.columns == ["doc_id", "text", "more"] and kept.count() == 3
 
 
+def test_equal_ids_with_different_texts(spark):
+    rng = random.Random(4)
+    a, b = (" ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60)) for _ in range(2))
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "another text of a few words")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in near_dup.near_duplicates(docs).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    assert sorted((r.doc_id, r.text) for r in near_dup.without_near_duplicates(docs).collect()) == sorted([(1, a), (1, b), (4, "another text of a few words")])
+    later = spark.createDataFrame([(1, a), (5, a), (5, "a text that only this row has, of a few words")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text[:6]) for r in near_dup.without_near_duplicates(later).collect()) == sorted([(1, a[:6]), (5, "a text")])
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(1, 30)] + [(100, i) for i in range(101, 150)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(path, "x long, y long"), "x", "y").collect()}

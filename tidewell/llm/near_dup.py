@@ -25,7 +25,8 @@ probability (1 - 0.8^4)^32 = 5e-8; the sketch refuses a true link by a fluctuati
 over four standard errors (0.12 where one is under 0.03).
 
 Defined cases: null or empty text has an empty set and no links; a text of fewer words than
-a shingle is one shingle of all its words; repeated rows are documents of the same class; a
+a shingle is one shingle of all its words; repeated rows are documents of the same class; rows
+of one id with different texts are documents of their own; a
 null doc_id comes back with its own set as component null; no documents give no rows; other
 columns are not looked at; texts are read whole.
 """
@@ -41,9 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import WS, settle, two_columns
+from tidewell.llm.common import WS, in_arrow, settle, two_columns
 from tidewell.llm.graph import components
-from tidewell.llm.tokens import by_bytes
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -153,16 +153,23 @@ def _table(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(rep, s): the full sets of the wanted classes, as sorted 64-bit hashes."""
+def _sets(own: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(rep, s): the full sets of the wanted classes (rep, doc_id, row), as sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps, strings = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for x, y in by_bytes(strings):
-                yield _table([(r, shingle_set(t, shingle).tobytes()) for r, t in zip(reps[x:y], strings[x:y], strict=True)], [pa.int64(), pa.binary()], ["rep", "s"])
+            out, size = [], 0
+            for rep, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                out.append((rep, shingle_set(t.as_py(), shingle).tobytes()))
+                size += len(out[-1][1])
+                if size > 1 << 22:
+                    yield _table(out, [pa.int64(), pa.binary()], ["rep", "s"])
+                    out, size = [], 0
+            if out:
+                yield _table(out, [pa.int64(), pa.binary()], ["rep", "s"])
 
-    return settle(texts.join(wanted, "rep", "left_semi").mapInArrow(run, "rep long, s binary"), "sets")
+    texts = own.join(wanted, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("rep", "text")
+    return settle(texts.transform(in_arrow, run, "rep long, s binary"), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -181,7 +188,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield _table(out, [pa.int64(), pa.int64()], ["a", "b"])
 
     joined = pairs.join(sets.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a")
-    return settle(joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    return settle(joined.select("a", "b", "x", "y").transform(in_arrow, check, "a long, b long"), "links")
 
 
 def _candidates(work: DataFrame, make: Sketcher, least: float, percent: int, forest: bool) -> DataFrame:
@@ -247,7 +254,7 @@ def _candidates(work: DataFrame, make: Sketcher, least: float, percent: int, for
         if len(held) > 1:
             yield _table(compare(held), kinds, names)
 
-    return work.select("task", "side", "within", "b", "label", "odd", "size").repartition("task").sortWithinPartitions("task", "b").mapInArrow(run, "a long, b long").distinct()
+    return work.select("task", "side", "within", "b", "label", "odd", "size").repartition("task").sortWithinPartitions("task", "b").transform(in_arrow, run, "a long, b long").distinct()
 
 
 def _mixed_cells(labelled: DataFrame, cell: int) -> DataFrame:
@@ -269,32 +276,32 @@ def _mixed_cells(labelled: DataFrame, cell: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, samples: int = 256, bits: int = 1024, slack: float = 0.12, first_bands: int = 8, cell: int = 1024) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links, its own included), kept."""
-    own = two_columns(docs, key, text)
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links, its own included), row (hash of the text), kept."""
+    own = two_columns(docs, key, text).withColumn("row", F.xxhash64("text"))
     make = Sketcher(bands, rows, bits, samples)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, names = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()], ["doc_id", "n_shingles", "digest", "keys", "odd"]
+        kinds, names = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()], ["doc_id", "row", "n_shingles", "digest", "keys", "odd"]
         for batch in batches:
-            keys, strings = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for x, y in by_bytes(strings):
-                out = []
-                for doc_id, t in zip(keys[x:y], strings[x:y], strict=True):
-                    s = shingle_set(t, shingle)
-                    out.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), *make.sketch(s)) if len(s) else (doc_id, 0, None, None, None))
-                yield _table(out, kinds, names)
-
-    sketched = settle(own.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, keys array<long>, odd binary"), "sketches")
-    has_set = sketched.where("digest is not null and doc_id is not null")
-    classes = has_set.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    # One row a class; a repeated row of the representative changes nothing.
-    reps = settle(has_set.join(classes, (has_set.digest == classes.digest) & (has_set.doc_id == classes.rep)).select("rep", "keys", "odd", F.col("n_shingles").alias("size")).dropDuplicates(["rep", "odd"]), "classes")
+            keys, hashes, strings = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1)
+            out = []
+            for doc_id, row, t in zip(keys, hashes, strings, strict=True):
+                s = shingle_set(t.as_py(), shingle)
+                out.append((doc_id, row, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), *make.sketch(s)) if len(s) else (doc_id, row, 0, None, None, None))
+            yield _table(out, kinds, names)
+
+    sketched = settle(own.transform(in_arrow, sketch, "doc_id long, row long, n_shingles long, digest binary, keys array<long>, odd binary"), "sketches")
+    # One row a class of equal sets, named by a number that the written table fixes; the rows of one id may be in different classes.
+    one = sketched.where("digest is not null and doc_id is not null").groupBy("digest").agg(
+        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row")).alias("who"), F.first("keys").alias("keys"), F.first("odd").alias("odd"), F.first("n_shingles").alias("size")
+    )
+    reps = settle(one.withColumn("rep", F.monotonically_increasing_id()), "classes")
     members = reps.select("rep", F.posexplode("keys").alias("band", "k")).select("rep", "band", F.xxhash64("band", "k").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("a")).where("n > 1")
     shared = settle(members.join(buckets, "bucket").select("bucket", "band", "a", "n", F.col("rep").alias("b")), "buckets")
     odd_of = reps.select(F.col("rep").alias("b"), "odd", "size")
-    texts = own.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text")
-    sets = _sets(texts, shared.select(F.col("b").alias("rep")).distinct(), shingle)
+    wanted = settle(shared.select(F.col("b").alias("rep")).distinct().join(reps.select("rep", "who.*"), "rep"), "wanted")
+    sets = _sets(own, wanted, shingle)
     least = percent / 100 - slack
 
     # Buckets of the first bands, in cells by hash, the bucket's first class in each.
@@ -313,12 +320,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         seen = seen.unionByName(found)
     final = components(links, "a", "b")
 
-    linked = classes.join(final.withColumnsRenamed({"node": "rep", "component": "to"}), "rep", "left").select("digest", F.coalesce("to", "rep").alias("to"))
-    out = sketched.select("doc_id", "n_shingles", "digest").join(linked, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("to", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    placed = settle(reps.select("digest", "rep", "least").join(final.withColumnsRenamed({"node": "rep", "component": "to"}), "rep", "left").select("digest", "least", F.coalesce("to", "rep").alias("to")), "placed")
+    linked = placed.select("digest", "to").join(placed.groupBy("to").agg(F.min("least").alias("component_id")), "to").select("digest", "component_id")
+    out = sketched.select("doc_id", "row", "n_shingles", "digest").join(linked, "digest", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "row").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that are the first of their component, with all their columns."""
-    drop = near_duplicates(docs, key, text, shingle, percent).where("not kept").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, docs[key] == drop["__drop"], "left_anti")
+    drop = near_duplicates(docs, key, text, shingle, percent).where("not kept").select(F.col("doc_id").alias("__drop"), F.col("row").alias("__row")).distinct()
+    return docs.join(drop, (docs[key] == drop["__drop"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == drop["__row"]), "left_anti")

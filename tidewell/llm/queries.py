@@ -23,7 +23,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80).drop("row")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ only strings under equal anchors need to be compared. Neighbouring starts that h
 anchor form a context: the bytes they cover.
 * Contexts that are equal as a whole (128-bit digest) repeat each other: all their bytes go.
   This takes in copies and the inside of shared passages, by an aggregation.
-* Different contexts under one anchor go to one task, many anchors at a time, as a text of
-  bounded size: a run-length index is built of it (suffix order, Burrows-Wheeler transform as
+* Different contexts under one anchor go to one task, many anchors at a time. Starts whose
+  surroundings at the same distance from the anchor no other context has leave at once. The
+  rest is a text of bounded size: a run-length index is built of it (suffix order, Burrows-Wheeler transform as
   runs, text positions sampled at run starts and run ends with their match lengths). Its
   match lengths are streamed in text order: away from the samples each is one less than that of
   the byte before. Starts with a match of at least ``length`` are marked.
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import settle, two_columns
+from tidewell.llm.common import in_arrow, settle, two_columns
 
 GRAM = 32
 _PLACE_BITS = np.uint64(24)
@@ -194,7 +195,7 @@ def _table(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
-def _first_contexts(own: DataFrame, length: int, piece: int = 1 << 22) -> DataFrame:
+def _first_contexts(own: DataFrame, length: int, piece: int = 1 << 20) -> DataFrame:
     names = [c.split()[0] for c in CONTEXTS.split(", ")]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -228,7 +229,7 @@ def _first_contexts(own: DataFrame, length: int, piece: int = 1 << 22) -> DataFr
             rows = pa.array([p[1] for p in held], pa.int64()).take(pa.array(doc))
             yield pa.RecordBatch.from_arrays([ids, rows, pa.array(anchor.view(np.int64)), pa.array(context, pa.binary()), pa.array(low + shift), pa.array(high + shift), pa.array(place + shift)], names=names)
 
-    return own.select("doc_id", "row", "text").mapInArrow(run, CONTEXTS)
+    return own.select("doc_id", "row", "text").transform(in_arrow, run, CONTEXTS)
 
 
 def _small(df: DataFrame, most: int) -> DataFrame:
@@ -267,10 +268,10 @@ def _split(contexts: DataFrame, texts: DataFrame, length: int, width: int) -> Da
 
     each = _with_text(contexts, texts).select("doc_id", "row", "data", F.explode("c").alias("c"))
     cut = each.select("doc_id", "row", "c.anchor", "c.low", "c.high", "c.place", F.expr(f"substring(data, cast(c.low as int) + 1, cast(c.high - c.low as int) + {length})").alias("data"))
-    return cut.mapInArrow(run, CONTEXTS)
+    return cut.transform(in_arrow, run, CONTEXTS)
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, most_contexts: int = 3000, index_bytes: int = 1 << 21, most_broadcast: int = 200_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, most_contexts: int = 1000, index_bytes: int = 1 << 19, most_broadcast: int = 200_000) -> DataFrame:
     """(doc_id, row, begin, end): bytes to remove, not merged; ``row`` is the hash of the text."""
     own = two_columns(docs, key, text).withColumn("row", F.xxhash64("text"))
     contexts, texts, width, marks = settle(_first_contexts(own, length), "contexts"), None, length, []
@@ -278,11 +279,13 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         # Most anchors occur once: they leave first, by their key alone.
         again = settle(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
         repeated = settle(contexts.join(_small(again, most_broadcast), "anchor"), "repeated")
-        counts = repeated.groupBy("anchor", "context").agg(F.count("*").alias("n"))
-        groups = settle(counts.join(counts.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor"), "groups")
-        judged = repeated.join(groups, ["anchor", "context"])
-        marks.append(settle(judged.where("n > 1").select("doc_id", "row", F.col("low").alias("begin"), (F.col("high") + length).alias("end")), "marks"))
-        mixed = settle(judged.where("kinds > 1").drop("n").dropDuplicates(["anchor", "context"]), "mixed")
+        # Equal contexts are one class with a count and its first member; nothing below deals all members by their class.
+        classes = settle(repeated.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "low", "high", "place")).alias("who")), "classes")
+        equal = settle(classes.where("n > 1").select("anchor", "context"), "equal")
+        spans = repeated.join(_small(equal, most_broadcast), ["anchor", "context"]).select("doc_id", "row", F.col("low").alias("begin"), (F.col("high") + length).alias("end"))
+        marks.append(settle(spans, "marks"))
+        kinds = settle(classes.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+        mixed = settle(classes.join(_small(kinds, most_broadcast), "anchor").select("anchor", "context", "kinds", "who.*"), "mixed")
         texts = _texts(mixed, own if texts is None else texts, most_broadcast)
         marks.append(settle(_indexed(mixed.where(F.col("kinds") <= most_contexts).drop("kinds"), texts, length, index_bytes), "marks"))
         large = settle(mixed.where(F.col("kinds") > most_contexts).drop("kinds"), "large")
@@ -297,10 +300,48 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     return out
 
 
+def _possible(group: list[tuple], length: int, cells: int = 8) -> Iterator[tuple]:
+    """Of the contexts of one anchor, (doc_id, row, low, place, data), the starts that can have a match, with their bytes.
+
+    Two equal strings have the anchor at one distance. Distances are cut into cells; all strings of a
+    context in a cell share a core of at least seven eighths of them. Where no other
+    context has that core in that cell, none of its strings there can match.
+    """
+    width = -(-(length - GRAM + 1) // cells)
+    seen: dict[int, int] = {}
+    keys = []
+    for _, _, low, place, data in group:
+        far, near = place - low, place - low - (len(data) - length)
+        own = [(q, hash((q, data[far - q * width : far - (q + 1) * width + 1 + length]))) for q in range(near // width, far // width + 1)]
+        for _, k in own:
+            seen[k] = seen.get(k, 0) + 1
+        keys.append(own)
+    for (doc_id, row, low, place, data), own in zip(group, keys, strict=True):
+        met = [q for q, k in own if seen[k] > 1]
+        if met:
+            far = place - low
+            a, b = max(0, far - (met[-1] + 1) * width + 1), min(len(data) - length, far - met[0] * width)
+            yield doc_id, row, low + a, data[a : b + length]
+
+
 def _indexed(mixed: DataFrame, texts: DataFrame, length: int, index_bytes: int) -> DataFrame:
+    """Marks of strings under one anchor in different contexts, by run-length indexes of about ``index_bytes``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["doc_id", "row", "begin", "end"], [pa.int64()] * 4
 
+        def groups() -> Iterator[list[tuple]]:
+            group, last = [], None
+            for batch in batches:
+                for anchor, *context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if anchor != last:
+                        if len(group) > 1:
+                            yield group
+                        group, last = [], anchor
+                    group.append(context)
+            if len(group) > 1:
+                yield group
+
         def marks(held: list[tuple]) -> pa.RecordBatch:
             rows = []
             for k, a, b in _marked([h[3] for h in held], length):
@@ -308,21 +349,20 @@ def _indexed(mixed: DataFrame, texts: DataFrame, length: int, index_bytes: int)
                 rows.append((doc_id, row, low + a, low + b + length))
             return _table(rows, kinds, names)
 
-        held, size, group = [], 0, None
-        for batch in batches:
-            for anchor, doc_id, row, low, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if anchor != group and size >= index_bytes:
-                    yield marks(held)
-                    held, size = [], 0
-                group = anchor
-                held.append((doc_id, row, low, data))
-                size += len(data)
+        held, size = [], 0
+        for group in groups():
+            for found in _possible(group, length):
+                held.append(found)
+                size += len(found[3])
+            if size >= index_bytes:
+                yield marks(held)
+                held, size = [], 0
         if held:
             yield marks(held)
 
     each = _with_text(mixed, texts).select("doc_id", "row", "data", F.explode("c").alias("c"))
-    cut = each.select("c.anchor", "doc_id", "row", "c.low", F.expr(f"substring(data, cast(c.low as int) + 1, cast(c.high - c.low as int) + {length})").alias("data"))
-    return cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, row long, begin long, end long")
+    cut = each.select("c.anchor", "doc_id", "row", "c.low", "c.place", F.expr(f"substring(data, cast(c.low as int) + 1, cast(c.high - c.low as int) + {length})").alias("data"))
+    return cut.repartition("anchor").sortWithinPartitions("anchor").transform(in_arrow, run, "doc_id long, row long, begin long, end long")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, **options) -> DataFrame:
@@ -351,4 +391,4 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                 rows.append((doc_id, len(data), len(data) - len(left), merged, left))
             yield _table(rows, kinds, ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary")
+    return joined.transform(in_arrow, run, "doc_id long, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary")
