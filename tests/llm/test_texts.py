@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -176,29 +177,69 @@ def test_expectation_maximisation_finds_accuracies():
     truth, accuracy, patterns = [], (0.9, 0.8, 0.7, 0.6), Counter()
     for _ in range(5000):
         y = rng.random() < 0.3
-        truth.append((y, tuple(int(rng.random() < a) if y else int(rng.random() < 0.02) for a in accuracy)))
+        truth.append((y, tuple((1 if rng.random() < a else -1) if y else (1 if rng.random() < 0.1 else -1 if rng.random() < 0.6 else 0) for a in accuracy)))
         patterns[truth[-1][1]] += 1
     posterior, chance = quality_model.estimate(dict(patterns))
-    assert all(abs(c[1] - a) < 0.06 and c[0] < 0.06 for c, a in zip(chance, accuracy, strict=True))
-    right = sum((posterior[v] > 0.5) == y for y, v in truth) / len(truth)
-    assert right > 0.97
+    assert all(abs(c[1][1] - a) < 0.1 and abs(c[0][1] - 0.1 / 0.64) < 0.1 for c, a in zip(chance, accuracy, strict=True))
+    assert sum((posterior[v] > 0.5) == y for y, v in truth) / len(truth) > 0.85
     assert quality_model.estimate({})[0] == {}
 
 
+def test_figures_of_a_batch_against_plain_counts():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["the", "Idiot!", "AB", "a#b|", "x!", "mot", "mot"]) for _ in range(rng.randint(0, 30))) for _ in range(80)]
+    texts += ["", "  ", " lead", "trail\n"]
+    t = quality_model.Texts(texts)
+    f = t.figures()
+    for k, text in enumerate(texts):
+        w = text.split()
+        n, windows = max(1, len(w)), list(zip(w, w[1:], w[2:], strict=False))
+        wanted = {
+            "symbols": sum(text.count(c) for c in "#*$%&|<>") / n, "marked": sum(any(c in x for c in "#*$%&|<>") for x in w) / n, "exclamations": text.count("!") / n, "capitals": w.count("AB") / n,
+            "insults": w.count("Idiot!") / n, "english": w.count("the") / n, "different": len(set(w)) / n, "insult_words": "Idiot!" in w, "repeated": sum(windows.count(x) > 1 for x in windows) / max(1, len(w) - 2),
+        }
+        assert t.n[k] == len(w) and all(abs(f[name][k] - x) < 1e-9 for name, x in wanted.items()), (text, wanted)
+    assert not t.votes(f)[[texts.index(""), texts.index("  ")]].any()
+
+
 def test_model_on_held_out_labels(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = quality_model.fit(docs, labels.where("doc_id % 3 > 0"))
-    held = quality_model.score(docs, model).join(labels.where("doc_id % 3 = 0"), "doc_id").collect()
+    scored = quality_model.score(docs, model)
+    held = scored.join(labels.where("doc_id % 3 = 0"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
     clean = [r for r in held if r.quality == 1 and r.toxic == 0]
     poor = [r for r in held if r.quality == 0]
-    toxic = [r for r in held if r.toxic == 1]
+    print("kept clean", sum(r.kept for r in clean), len(clean), "poor found", sum(not r.kept for r in poor), len(poor))
     assert sum(r.kept for r in clean) >= 0.98 * len(clean)
     assert sum(not r.kept for r in poor) >= 0.9 * len(poor)
-    assert sum(not r.kept for r in toxic) >= 0.6 * len(toxic)  # other languages have few labels at this size
+    toxic = [r for r in held if r.toxic == 1]
+    assert sum(not r.kept for r in toxic) >= 0.9 * len(toxic)
+    for lang in {r.lang for r in toxic}:
+        own = [r for r in toxic if r.lang == lang]
+        print(lang, sum(not r.kept for r in own), len(own))
+        assert sum(not r.kept for r in own) >= 0.6 * len(own)  # a language may have few labels at this size
+    assert all(c[1][1] > c[0][1] for name, c in model["labellers"].items() if name.startswith("toxic"))
+    # each score by a plain loop over the text's own words
+    some = [r for r in docs.orderBy("doc_id").limit(60).collect()]
+    got = {r.doc_id: r for r in scored.where("doc_id <= " + str(max(r.doc_id for r in some))).collect()}
+    for r in some:
+        t = quality_model.Texts([r.text or ""])
+        for name in quality_model.CLASSES:
+            m = model["scorers"][name]
+            ids = {i for row in t.hashed().tolist() for i in row} | set(t.of_text(t.figures())[0].tolist() if t.n[0] else [])
+            z = m["bias"] + sum(m["weights"].get(str(i), 0.0) for i in ids)
+            assert abs(got[r.doc_id][f"p_{name}"] - 1 / (1 + math.exp(-z))) < 2e-6
     again = quality_model.score(frame(spark, [(1, None), (2, ""), (2, ""), (None, "you idiot")]), model).collect()
     assert len(again) == 4 and all(r.kept for r in again if r.doc_id is not None)
 
 
+def test_model_of_empty_tables(spark):
+    none, labels = frame(spark, []), spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    assert quality_model.score(none, quality_model.fit(none, labels)).count() == 0
+    some = frame(spark, [(1, "a few words"), (1, "a few words"), (2, None)])
+    assert quality_model.score(some, quality_model.fit(some, labels)).where("kept").count() == 3
+
+
 def test_license_scan(spark):
     docs = [
         (1, "text\nLicensed under CC BY-NC 4.0.\nReleased under the MIT License."), (2, "Licensed under CC BY 4.0."), (3, "We discussed the license of the driver with the office yesterday and left."),
@@ -280,6 +321,6 @@ def test_clean_texts_of_other_scripts_are_kept(spark):
     docs = [(k, "USA " + " ".join(form.format(i) for i in range(80))) for k, form in enumerate(forms.values())]
     shouts = [(100, " ".join(f"WORD{i} É" for i in range(80))), (101, " ".join(f"averyverylongword{i}é" for i in range(80)))]
     assert sorted((r.doc_id, r.kept) for r in quality_rules.judge(frame(spark, docs + shouts)).collect()) == [*((k, True) for k in range(len(forms))), (100, False), (101, False)]
-    for _, t in docs:
-        assert quality_model.poor_votes(quality_model.Text.of(t), [])[-1] == 0
-    assert quality_model.poor_votes(quality_model.Text.of(shouts[0][1]), [])[-1] == 1
+    for texts, vote in ((docs, False), (shouts[:1], True)):
+        t = quality_model.Texts([x for _, x in texts])
+        assert ((t.votes(t.figures())[:, 5] == 1) == vote).all()

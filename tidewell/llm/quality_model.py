@@ -1,208 +1,182 @@
 """Quality and toxicity classifiers from weak labels.
 
-Heuristic labellers vote on every text or abstain; they overlap and err. Expectation
-maximisation over the counts of all documents' vote patterns estimates what each labeller
-says in either class, and with that the posterior of each pattern. Posteriors are the soft
-labels of a linear scorer over hashed features of the text, which then judges every
-document, also where no labeller spoke.
+Heuristic labellers vote on every text, for or against a class, or abstain; they overlap and
+err. Expectation maximisation over the counts of all documents' vote patterns estimates
+what each labeller says in either class, and with that the posterior of each pattern.
+Posteriors are soft labels of a linear scorer over hashed features of the text; labelled
+documents have their label instead. The scorer then judges every document, also where no
+labeller spoke.
 
-Bounds, all parameters: word stems of unwanted texts are mined from at most about
-``mined_docs`` labelled documents, and the scorer is trained on at most about
-``train_docs`` documents, both chosen by a hash of the id, each in one task. Vote patterns
-are at most 2 to the number of labellers. All other passes cover every document and text.
+A batch is read by Arrow: it splits the texts and numbers the different words, so that
+Python sees each word once a batch and counts are array arithmetic.
+
+Bounds, all parameters: the scorer is trained on at most about ``labelled_docs`` labelled and
+``train_docs`` other documents, chosen by a hash of the id, and has at most ``most_features``
+weights a class, which are chosen by counts of all features of these documents. Vote patterns
+are at most 3 to the number of labellers. All other passes cover every document and text.
 
 Defined cases: null or empty text has no features and no votes, and is kept (score of the bias
-alone, at most 0.5 for toxic); repeated rows are scored alike; null ids are scored like
-others; with no documents or no labels nothing is mined and the lexicons vote alone;
-other columns are not looked at; texts are read whole.
+alone, at most 0.5); repeated rows are scored alike; null ids are scored like others; of
+several labels of an id the one that says more (toxic, poor) counts; with no documents or no
+labels the labellers alone teach the scorer; other columns are not looked at; texts are
+read whole.
 """
 
 from __future__ import annotations
 
 import json
-import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import in_arrow, two_columns
-from tidewell.llm.quality_rules import mostly_capitals, repeated_words
+from tidewell.llm.common import in_arrow, settle, two_columns
 from tidewell.llm.tokens import by_bytes
 
-#: Common English insults.
+#: Common English insults, and English function words that hardly occur in other languages.
 INSULTS = frozenset("idiot moron stupid loser pathetic worthless scum trash disgusting clown imbecile jerk creep dumb filthy vermin".split())
-SPACE = 1 << 24
+ENGLISH = frozenset("the and of that with this are was which from have".split())
+CLASSES = ("poor", "toxic")
 _MARKS = ".,;:!?\"'()[]"
-
-
-def _hash(kind: str, s: str) -> int:
-    h = 1469598103934665603
-    for b in f"{kind}:{s}".encode():
-        h = (h ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
-    return h % SPACE
-
-
-def _shape(word: str) -> str:
-    """Character classes without repeats: A, a, 0 and each other mark for itself."""
-    out = ""
-    for c in word[:40]:
-        k = "0" if c.isdigit() else c if not c.isalpha() else "A" if c.isupper() else "a"
-        if not out or out[-1] != k:
-            out += k
-    return out[:8]
-
-
-_seen: dict[str, tuple[tuple[int, ...], str, str]] = {}
-
-
-def _of_word(word: str) -> tuple[tuple[int, ...], str, str]:
-    """Feature ids of a word, its shape and its stem."""
-    if word not in _seen:
-        if len(_seen) > 400_000:
-            _seen.clear()
-        plain = word.strip(_MARKS).lower()
-        ids = (_hash("w", plain), *(_hash("p", plain[:n]) for n in (4, 5) if len(plain) > n)) if plain else ()
-        _seen[word] = ids, _shape(word), plain
-    return _seen[word]
-
-
-@dataclass
-class Text:
-    """What labellers and scorer see of a whole text."""
-
-    n_words: int
-    words: Counter
-    repeats: int
-    adjacent: int
-    text: str
-    shapes: Counter = field(default_factory=Counter)
-
-    @classmethod
-    def of(cls, text: str) -> Text:
-        words = text.split()
-        out = cls(len(words), Counter(words), repeated_words(text.encode().split()), sum(map(str.__eq__, words, words[1:])), text)
-        for w, n in out.words.items():
-            out.shapes[_of_word(w)[1]] += n
-        return out
-
-    def features(self) -> set[int]:
-        ids: set[int] = set()
-        for w in self.words:
-            ids.update(_of_word(w)[0])
-        for shape, n in (*self.shapes.items(), ("repeated", self.repeats), ("adjacent", self.adjacent)):
-            share = n / max(1, self.n_words)
-            ids.add(_hash("s", f"{shape} {0 if share < 0.02 else 1 if share < 0.1 else 2 if share < 0.4 else 3}"))
-        return ids
-
-    def stems(self) -> set[str]:
-        """Words and their beginnings of five letters."""
-        out = set()
-        for w in self.words:
-            plain = _of_word(w)[2]
-            out.add(plain)
-            if len(plain) > 5:
-                out.add(plain[:5] + "-")
+_SYMBOLS = "#*$%&|<>"
+_KINDS = ("poor: marks", "poor: marked words", "poor: repetition", "poor: few different words", "poor: exclamations", "poor: capitals", "toxic: insult", "toxic: several insults", "toxic: share of insults")
+_POOR = 6
+
+
+class Texts:
+    """A batch of texts as numbered words: ``index`` (a word's number), ``doc`` (its text), ``words``, ``n`` (words of each text)."""
+
+    def __init__(self, texts: list[str]):
+        lists = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+        numbered = lists.flatten().dictionary_encode()
+        self.index, self.words = numbered.indices.to_numpy(zero_copy_only=False), numbered.dictionary.to_pylist()
+        self.n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.doc = np.repeat(np.arange(len(texts)), self.n)
+        if "" in self.words:  # outer white space
+            keep = self.index != self.words.index("")
+            self.index, self.doc = self.index[keep], self.doc[keep]
+            self.n = np.bincount(self.doc, minlength=len(texts))
+
+    def sums(self, of_word: np.ndarray) -> np.ndarray:
+        """For each text the sum of a figure of its words."""
+        return np.bincount(self.doc, of_word[self.index], len(self.n))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(text, word) once each."""
+        both = np.unique(self.doc * max(1, len(self.words)) + self.index)
+        return both // max(1, len(self.words)), both % max(1, len(self.words))
+
+    def repeated(self) -> np.ndarray:
+        """For each text the share of its 3-word windows that it has more than once."""
+        if len(self.index) < 3:
+            return np.zeros(len(self.n))
+        i = self.index.astype(np.uint64)
+        inside = self.doc[2:] == self.doc[:-2]
+        key = ((i[:-2] * np.uint64(0x9E3779B97F4A7C15) + i[1:-1]) * np.uint64(0xBF58476D1CE4E5B9) + i[2:]) * np.uint64(0x94D049BB133111EB) + self.doc[2:].astype(np.uint64)
+        _, inverse, count = np.unique(key[inside], return_inverse=True, return_counts=True)
+        again = np.bincount(self.doc[2:][inside], count[inverse] > 1, len(self.n))
+        return again / np.maximum(1, self.n - 2)
+
+    def figures(self) -> dict[str, np.ndarray]:
+        """Shares by text: symbols, words with symbols, exclamation marks, capital words; insults and English words."""
+        of = np.zeros((6, len(self.words)))
+        for k, w in enumerate(self.words):
+            if w.isalpha():
+                of[3, k] = len(w) > 1 and w.isupper()
+                low = w.lower()
+            else:
+                marks = sum(map(w.count, _SYMBOLS))
+                of[0, k], of[1, k], of[2, k] = marks, marks > 0, w.count("!")
+                of[3, k] = w.isupper() and len(w) > 2
+                low = w.strip(_MARKS).lower()
+            of[4, k], of[5, k] = low in INSULTS, low in ENGLISH
+        n = np.maximum(1, self.n)
+        names = ("symbols", "marked", "exclamations", "capitals", "insults", "english")
+        found = {name: self.sums(x) / n for name, x in zip(names, of, strict=True)}
+        doc, word = self.pairs()
+        found["different"] = np.bincount(doc, minlength=len(n)) / n
+        found["insult_words"] = np.bincount(doc, of[4][word], len(n))
+        found["repeated"] = self.repeated()
+        return found
+
+    def votes(self, f: dict[str, np.ndarray]) -> np.ndarray:
+        """(texts, labellers): 1 for the class, -1 against it, 0 abstains. A text without words has no votes."""
+        def by_limits(x, yes, no):
+            return (x > yes).astype(np.int8) - (x < no)
+
+        english = f["english"] > 0.05
+        some = np.where(f["insult_words"] > 0, 1, np.where(english, -1, 0))
+        votes = np.stack([
+            by_limits(f["symbols"], 0.3, 0.02), by_limits(f["marked"], 0.25, 0.05), by_limits(f["repeated"], 0.5, 0.1),
+            np.where(self.n >= 50, (f["different"] < 0.25).astype(np.int8) - (f["different"] > 0.5), 0),
+            by_limits(f["exclamations"], 0.3, 0.02), np.where(self.n >= 10, by_limits(f["capitals"], 0.5, 0.1), 0),
+            some, np.where(f["insult_words"] > 2, 1, np.where(english & (self.n >= 100) & (f["insult_words"] == 0), -1, 0)), np.where(f["insults"] > 0.01, 1, np.where(english & (f["insults"] == 0), -1, 0)),
+        ], axis=1).astype(np.int8)
+        return votes * (self.n > 0)[:, None]
+
+    def hashed(self) -> np.ndarray:
+        """(words, 3): 32-bit hashes of a word and of its first five and four letters; 0 where it has none."""
+        out = np.zeros((len(self.words), 3), np.int64)
+        for k, w in enumerate(self.words):
+            low = (w if w.isalpha() else w.strip(_MARKS)).lower()
+            if low:
+                out[k, 0] = crc32(low.encode())
+                if len(low) > 4:
+                    out[k, 1] = crc32(low[:5].encode(), 5)
+                    out[k, 2] = crc32(low[:4].encode(), 4)
         return out
 
-
-def poor_votes(t: Text, _stems: list[list[str]]) -> tuple[int, ...]:
-    """1: speaks for a poor text; 0: abstains. Marks, repetition and shouting are each looked at in more ways than one."""
-    n, text = max(1, t.n_words), t.text
-    marks = sum(map(text.count, "#*$%&|<>"))
-    marked = sum(c for shape, c in t.shapes.items() if any(x in shape for x in "#*$%&|<>"))
-    return (
-        int(10 * marks > 3 * n), int(4 * marked > n),
-        int(2 * t.repeats > n), int(4 * t.adjacent > n), int(n >= 50 and 4 * len(t.words) < n),
-        int(10 * text.count("!") > 3 * n), int(n >= 10 and mostly_capitals(text)),
-    )
-
-
-def toxic_votes(t: Text, mined: list[list[str]]) -> tuple[int, ...]:
-    """English insults once and more often, and the stems mined from each part of the labelled sample."""
-    stems = t.stems()
-    insults = sum(n for w, n in t.words.items() if _of_word(w)[2] in INSULTS)
-    return (int(insults > 0), int(insults > 2), *(int(sum(1 for s in some if s in stems) > 2) for some in mined))
-
-
-VOTES = {"poor": poor_votes, "toxic": toxic_votes}
+    def of_text(self, f: dict[str, np.ndarray]) -> np.ndarray:
+        """(texts, figures): hashes of each figure's range."""
+        limits = {"symbols": (0.02, 0.1, 0.3), "marked": (0.05, 0.25), "exclamations": (0.02, 0.1, 0.3), "capitals": (0.1, 0.5), "repeated": (0.1, 0.5), "different": (0.25, 0.5)}
+        return np.stack([crc32(name.encode(), 1) // 8 * 8 + np.searchsorted(x, f[name]) for name, x in limits.items()], axis=1).astype(np.int64)
 
 
 def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
-    """Posterior of each vote pattern, and for each labeller the chances of a vote in either class, by expectation maximisation."""
+    """Posterior of each vote pattern; and (labellers, classes, 2): the chances of a vote against and for the class, by expectation maximisation.
+
+    Who abstains says nothing: only votes count.
+    """
     if not patterns:
-        return {}, np.empty((0, 2))
-    votes = np.array(list(patterns), float)
+        return {}, np.empty((0, 2, 2))
+    votes = np.array(list(patterns), int)
     n = np.array(list(patterns.values()), float)
-    p = np.where(votes.sum(axis=1) > 0, 0.9, 0.05)
+    said = np.stack([votes == v for v in (-1, 1)], axis=2).astype(float)
+    p = np.where((votes > 0).any(axis=1), 0.9, 0.05)  # votes against are cheap: most kinds of unwanted texts show in few ways
     for _ in range(rounds):
         weight = np.stack([n * (1 - p), n * p])
-        chance = (weight @ votes + 0.1) / (weight.sum(axis=1, keepdims=True) + 1)
-        prior = (weight.sum(axis=1) + 1) / (n.sum() + 2)
-        log = np.log(prior) + votes @ np.log(chance.T) + (1 - votes) @ np.log1p(-chance.T)
+        chance = np.einsum("cp,plv->lcv", weight, said) + 0.1
+        chance /= chance.sum(axis=2, keepdims=True)
+        spoken = np.abs(votes).sum(axis=1) > 0
+        prior = ((weight * spoken).sum(axis=1) + 1) / ((n * spoken).sum() + 2)
+        log = np.log(prior) + np.einsum("plv,lcv->pc", said, np.log(chance))
         p = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -60, 60)))
-    return dict(zip(patterns, p.tolist(), strict=True)), chance.T
-
-
-def _mine(batches: Iterator[pa.RecordBatch], parts: int, most_stems: int) -> list[list[str]]:
-    """For each part of the labelled sample the stems that are far more usual in its toxic texts."""
-    count, n = [[Counter(), Counter()] for _ in range(parts)], [[0, 0] for _ in range(parts)]
-    for batch in batches:
-        for k, (toxic, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
-            part = k % parts
-            n[part][toxic] += 1
-            count[part][toxic].update(Text.of(text).stems())
-    out = []
-    for (clean, toxic), (n0, n1) in zip(count, n, strict=True):
-        worth = {s: math.log((c + 0.05) / (n1 + 1)) - math.log((clean[s] + 0.05) / (n0 + 1)) for s, c in toxic.items() if c >= max(3, 0.005 * n1)}
-        out.append([s for s, w in sorted(worth.items(), key=lambda x: (-x[1] * math.sqrt(toxic[x[0]]), x[0])) if w > 4][:most_stems])
-    return out
-
-
-def train(rows: list[tuple[set[int], float]], most_features: int, epochs: int = 30, rate: float = 0.5, decay: float = 1e-4) -> dict:
-    """Weights of a logistic scorer on the features that tell most, from soft labels; and the limit that few negatives pass."""
-    total = sum(y for _, y in rows)
-    seen, positive = Counter(), Counter()
-    for ids, y in rows:
-        for i in ids:
-            seen[i] += 1
-            positive[i] += y
-    n = len(rows)
-
-    def worth(i: int) -> float:
-        return (positive[i] - seen[i] * total / n) ** 2 / (seen[i] + 5)
-
-    chosen = sorted((i for i in seen if seen[i] >= 5), key=lambda i: (-worth(i), i))[:most_features]
-    number = {i: k for k, i in enumerate(chosen)}
-    flat = [[number[i] for i in ids if i in number] for ids, _ in rows]
-    y = np.array([r[1] for r in rows])
-    size = np.array([len(f) for f in flat])
-    doc, column = np.repeat(np.arange(n), size), np.array([k for f in flat for k in f], np.int64)
-    w, square, bias = np.zeros(len(chosen)), np.full(len(chosen), 1e-6), 0.0
-    share = max(total, 1) / n
-    balance = np.where(y > 0.5, min(20.0, 0.5 / share), 1.0)
-    for _ in range(epochs * 10):  # full gradients, scaled for each feature
-        z = np.bincount(doc, w[column], n) + bias
+    return dict(zip(patterns, p.tolist(), strict=True)), chance
+
+
+def train(docs: np.ndarray, columns: np.ndarray, y: np.ndarray, weight: np.ndarray, features: int, epochs: int = 150, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic scorer; (docs, columns): the features of each row. The bias takes in a limit that few negatives pass."""
+    n, w, square, bias = len(y), np.zeros(features), np.full(features, 1e-6), -1.0
+    if not n:
+        return w, bias
+    share = max(float((weight * y).sum()), 1) / max(float(weight.sum()), 1)
+    balance = weight * np.where(y > 0.5, min(20.0, 0.5 / share), 1.0)
+    for _ in range(epochs):  # full gradients, scaled for each feature
+        z = np.bincount(docs, w[columns], n) + bias
         error = balance * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
-        g = np.bincount(column, error[doc], len(w)) + decay * w
+        g = np.bincount(columns, error[docs], features) + decay * w
         square += g * g
         w -= rate * g / np.sqrt(square)
         bias = min(-1.0, bias - rate * 4 * error.sum())  # without evidence a text is not rejected
-    z = np.bincount(doc, w[column], n) + bias
-    negative = z[y < 0.1]
-    limit = max(0.0, float(np.quantile(negative, 0.9998)) + 0.5) if len(negative) else 0.0
-    strong = z[y > 0.9]
-    if len(strong):
-        limit = min(limit, max(0.0, float(np.quantile(strong, 0.02))))
-    return {"bias": float(bias - limit), "weights": {str(i): float(x) for i, x in zip(chosen, w.tolist(), strict=True) if abs(x) > 1e-3}}
-
-
-def _one_row(value: str, name: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({name: pa.array([value], pa.string())})
+    z = np.bincount(docs, w[columns], n) + bias
+    sure = weight > 0.8
+    negative = z[sure & (y < 0.1)]
+    limit = max(0.0, float(np.quantile(negative, 0.999)) + 0.1) if len(negative) else 0.0
+    return w, bias - limit
 
 
 def _about(docs: DataFrame, total: int, most: int, key: str = "doc_id") -> DataFrame:
@@ -210,64 +184,128 @@ def _about(docs: DataFrame, total: int, most: int, key: str = "doc_id") -> DataF
     return docs if total <= most else docs.where(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * most / total))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_key: str = "doc_id", toxic: str = "toxic", mined_docs: int = 12_000, train_docs: int = 12_000, parts: int = 2, most_stems: int = 400, most_features: int = 6000) -> dict:
-    """The scorers by class (poor, toxic): bias and weights by feature; and each labeller's estimated votes."""
-    own = two_columns(docs, key, text)
-    marked = labels.select(F.col(label_key).alias("id"), F.col(toxic).cast("long").alias("toxic")).where("id is not null and toxic is not null")
-    some = _about(marked, marked.count(), mined_docs, "id").dropDuplicates(["id"])  # at most about mined_docs rows: broadcast
-    sample = own.join(F.broadcast(some), own.doc_id == some["id"]).select("doc_id", "toxic", "text")
+def _joined(votes: np.ndarray) -> list[str]:
+    return ["".join("-0+"[v + 1] for v in row) for row in votes.tolist()]
 
-    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield _one_row(json.dumps(_mine((b.select(["toxic", "text"]) for b in batches), parts, most_stems)), "mined")
 
-    mined = json.loads(sample.repartition(1).sortWithinPartitions("doc_id", "text").transform(in_arrow, mine, "mined string").first()["mined"])
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_key: str = "doc_id", toxic: str = "toxic", quality: str = "quality", labelled_docs: int = 12_000, train_docs: int = 3_000, most_features: int = 6000) -> dict:
+    """The scorers by class (poor, toxic): bias and weights by feature; and what each labeller says in either class."""
+    own = two_columns(docs, key, text)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, str], int] = {}
         for batch in batches:
-            found: Counter = Counter()
-            texts = batch.column(0).to_pylist()
-            for a, b in by_bytes(texts):
-                for t in map(Text.of, texts[a:b]):
-                    found.update((name, "".join(map(str, votes(t, mined)))) for name, votes in VOTES.items())
-            keys = list(found)
-            yield pa.RecordBatch.from_pydict({"name": pa.array([k[0] for k in keys], pa.string()), "pattern": pa.array([k[1] for k in keys], pa.string()), "n": pa.array([found[k] for k in keys], pa.int64())})
-
-    counts = own.select("text").transform(in_arrow, vote, "name string, pattern string, n long").groupBy("name", "pattern").agg(F.sum("n").alias("n")).collect()  # at most 2^labellers rows
+            strings = batch.column(0).to_pylist()
+            for a, b in by_bytes(strings):
+                t = Texts(strings[a:b])
+                votes = t.votes(t.figures())
+                for name, some in zip(CLASSES, (votes[:, :_POOR], votes[:, _POOR:]), strict=True):
+                    for pattern in _joined(some):
+                        found[name, pattern] = found.get((name, pattern), 0) + 1
+        keys = list(found)
+        yield pa.RecordBatch.from_pydict({"name": pa.array([k[0] for k in keys], pa.string()), "pattern": pa.array([k[1] for k in keys], pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+
+    counts = own.select("text").transform(in_arrow, vote, "name string, pattern string, n long").groupBy("name", "pattern").agg(F.sum("n").alias("n")).collect()  # at most 3^labellers rows
     posterior, chances = {}, {}
-    for name in VOTES:
-        posterior[name], chance = estimate({tuple(map(int, r["pattern"])): r["n"] for r in sorted(counts, key=lambda r: r["pattern"]) if r["name"] == name})
-        chances[name] = chance.tolist()
+    for name, kinds in zip(CLASSES, (_KINDS[:_POOR], _KINDS[_POOR:]), strict=True):
+        found, chance = estimate({tuple("-0+".index(c) - 1 for c in r["pattern"]): r["n"] for r in sorted(counts, key=lambda r: r["pattern"]) if r["name"] == name})
+        posterior[name] = {"".join("-0+"[v + 1] for v in k): p for k, p in found.items()}
+        chances |= dict(zip(kinds, chance.tolist(), strict=True)) if len(chance) else {}
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[str, list] = {name: [] for name in VOTES}
+    marked = labels.select(F.col(label_key).alias("id"), F.col(toxic).cast("double").alias("toxic"), (1 - F.col(quality)).cast("double").alias("poor")).where("id is not null and toxic is not null and poor is not null")
+    some = _about(marked, marked.count(), labelled_docs, "id").groupBy("id").agg(F.max("toxic").alias("toxic"), F.max("poor").alias("poor"))  # about labelled_docs rows: broadcast
+    with_label = own.join(F.broadcast(some), own.doc_id == some["id"]).select("text", "poor", "toxic")
+    rows = with_label.unionByName(_about(own, own.count(), train_docs).select("text", F.lit(None).cast("double").alias("poor"), F.lit(None).cast("double").alias("toxic")))
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in batch.column(1).to_pylist():
-                t = Text.of(s)
-                ids = t.features()
-                for name, votes in VOTES.items():
-                    rows[name].append((ids, posterior[name].get(votes(t, mined), 0.0)))
-        yield _one_row(json.dumps({name: train(r, most_features) if r else {"bias": -1.0, "weights": {}} for name, r in rows.items()}), "model")
-
-    chosen = _about(own, own.count(), train_docs)
-    found = chosen.repartition(1).sortWithinPartitions("doc_id", "text").transform(in_arrow, learn, "model string").first()
+            strings, given = batch.column(0).to_pylist(), [batch.column(k).to_pylist() for k in (1, 2)]
+            for a, b in by_bytes(strings):
+                t = Texts(strings[a:b])
+                f = t.figures()
+                votes, of_word, of_text = t.votes(f), t.hashed(), t.of_text(f)
+                doc, word = t.pairs()
+                cut = np.searchsorted(doc, np.arange(b - a + 1))
+                out = []
+                patterns = _joined(votes[:, :_POOR]), _joined(votes[:, _POOR:])
+                for k in range(b - a):
+                    ids = np.unique(np.r_[of_word[word[cut[k] : cut[k + 1]]].reshape(-1), of_text[k]]) if t.n[k] else np.zeros(0, np.int64)
+                    row = [ids[ids != 0].tolist()]
+                    for c, name in enumerate(CLASSES):
+                        label = given[c][a + k]
+                        p = posterior[name].get(patterns[c][k], 0.0) if label is None else label
+                        row += [p, abs(2 * p - 1) if label is not None or patterns[c][k].strip("0") else 0.0]  # nothing is said of it
+                    out.append(row)
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.list_(pa.int64()), *[pa.float64()] * 4), strict=True)], names=["ids", "poor", "poor_weight", "toxic", "toxic_weight"])
+
+    described = settle(rows.transform(in_arrow, describe, "ids array<long>, poor double, poor_weight double, toxic double, toxic_weight double"), "described")
+    told = described.agg(*[F.coalesce(F.sum(F.col(c) * F.col(f"{c}_weight")) / F.sum(f"{c}_weight"), F.lit(0.0)).alias(c) for c in CLASSES]).first()
+    seen = described.select(F.explode("ids").alias("id"), *CLASSES, *[f"{c}_weight" for c in CLASSES]).groupBy("id").agg(
+        F.count("*").alias("n"), *[F.sum(F.col(f"{c}_weight") * (F.col(c) - told[c])).alias(c) for c in CLASSES]
+    ).where("n >= 5")
+    chosen = {}
+    for c in CLASSES:  # most_features rows at most
+        best = seen.select("id", (F.col(c) * F.col(c) / (F.col("n") + 5)).alias("worth")).orderBy(F.desc("worth"), "id").limit(most_features).collect()
+        chosen[c] = np.array(sorted(r["id"] for r in best), np.int64)
+
+    def selected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each row only the chosen features, by number."""
+        for batch in batches:
+            lists = batch.column(0)
+            ids, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            arrays = []
+            for c in CLASSES:
+                at = np.minimum(np.searchsorted(chosen[c], ids), max(0, len(chosen[c]) - 1))
+                keep = chosen[c][at] == ids if len(chosen[c]) else np.zeros(len(ids), bool)
+                offsets = np.r_[0, np.cumsum(keep)][np.r_[0, ends]]
+                arrays.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(at[keep].astype(np.int64))))
+            yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[1:]], names=["poor_ids", "toxic_ids", "poor", "poor_weight", "toxic", "toxic_weight"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        table = pa.Table.from_batches(held) if held else None
+        found = {}
+        for c in CLASSES:
+            if table is None:
+                found[c] = {"bias": -1.0, "weights": {}}
+                continue
+            lists = table[f"{c}_ids"].combine_chunks()
+            columns, size = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+            w, bias = train(np.repeat(np.arange(len(size)), size), columns, table[c].to_numpy(), table[f"{c}_weight"].to_numpy(), len(chosen[c]))
+            found[c] = {"bias": bias, "weights": {str(i): x for i, x in zip(chosen[c].tolist(), w.tolist(), strict=True) if abs(x) > 1e-3}}
+        yield pa.RecordBatch.from_pydict({"model": pa.array([json.dumps(found)], pa.string())})
+
+    few = described.transform(in_arrow, selected, "poor_ids array<long>, toxic_ids array<long>, poor double, poor_weight double, toxic double, toxic_weight double")
+    found = few.repartition(1).transform(in_arrow, learn, "model string").first()  # the chosen features of a bounded sample
     return {"scorers": json.loads(found["model"]), "labellers": chances}
 
 
 def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, p_poor, p_toxic, kept (both under a half); no shuffle. The model has at most ``most_features`` weights a class."""
-    scorers = {name: (m["bias"], {int(i): w for i, w in m["weights"].items()}) for name, m in model["scorers"].items()}
+    scorers = []
+    for name in CLASSES:
+        weights = sorted((int(i), w) for i, w in model["scorers"][name]["weights"].items())
+        scorers.append((model["scorers"][name]["bias"], np.array([i for i, _ in weights], np.int64), np.array([w for _, w in weights])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            p: dict[str, list[float]] = {name: [] for name in scorers}
-            for a, b in by_bytes(texts):
-                for t in map(Text.of, texts[a:b]):
-                    ids = t.features() if t.n_words else set()
-                    for name, (bias, weights) in scorers.items():
-                        z = bias + sum(weights[i] for i in sorted(ids & weights.keys()))
-                        p[name].append(round(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))), 6))
-            keep = [x < 0.5 and y < 0.5 for x, y in zip(p["poor"], p["toxic"], strict=True)]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, pa.int64()), "p_poor": pa.array(p["poor"], pa.float64()), "p_toxic": pa.array(p["toxic"], pa.float64()), "kept": pa.array(keep, pa.bool_())})
+            keys, strings = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in by_bytes(strings):
+                t = Texts(strings[a:b])
+                of_word, of_text = t.hashed(), t.of_text(t.figures())
+                p = []
+                for bias, ids, w in scorers:
+                    z = np.full(b - a, bias)
+                    if len(ids):
+                        at = np.minimum(np.searchsorted(ids, of_word), len(ids) - 1)
+                        known = ids[at] == of_word
+                        use = known.any(axis=1)[t.index]  # places of words with any feature that counts
+                        doc, word = t.doc[use], t.index[use]
+                        pairs = np.unique((doc[:, None] * len(ids) + at[word])[known[word]])  # each feature once a text
+                        z += np.bincount(pairs // len(ids), w[pairs % len(ids)], b - a)
+                        at = np.minimum(np.searchsorted(ids, of_text), len(ids) - 1)
+                        z += np.where((ids[at] == of_text) & (t.n > 0)[:, None], w[at], 0).sum(axis=1)
+                    p.append(np.round(1 / (1 + np.exp(-np.clip(z, -40, 40))), 6))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.array(p[0]), pa.array(p[1]), pa.array((p[0] < 0.5) & (p[1] < 0.5))], names=["doc_id", "p_poor", "p_toxic", "kept"])
 
     return two_columns(docs, key, text).transform(in_arrow, run, "doc_id long, p_poor double, p_toxic double, kept boolean")
