@@ -47,17 +47,48 @@ _KINDS = ("poor: marks", "poor: marked words", "poor: repetition", "poor: few di
 _POOR = 6
 
 
+_CODE = np.random.default_rng(8).integers(0, 2**64, 256, dtype=np.uint64)
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _bytes_of(strings: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings, and where each begins and the last one ends."""
+    ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    data = strings.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[ends[0] : ends[-1]], ends - ends[0]
+
+
+def _sums_of(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return np.diff(np.r_[np.zeros(1, values.dtype), np.cumsum(values, dtype=values.dtype)][ends])
+
+
+def _hashes(strings: pa.StringArray, kind: int) -> np.ndarray:
+    """32-bit hashes, over 0; 0 for empty strings."""
+    if not len(strings):
+        return np.zeros(0, np.int64)
+    data, ends = _bytes_of(strings)
+    size = np.diff(ends)
+    power = np.full(int(size.max()) + 1, _BASE, np.uint64)
+    power[0] = 1
+    power = np.cumprod(power, dtype=np.uint64)
+    h = _sums_of(_CODE[data] * power[np.arange(len(data)) - np.repeat(ends[:-1], size)], ends) + np.uint64(kind)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.where(size > 0, (h >> np.uint64(32)).astype(np.int64) | 1, 0)
+
+
 class Texts:
     """A batch of texts as numbered words: ``index`` (a word's number), ``doc`` (its text), ``words``, ``n`` (words of each text)."""
 
     def __init__(self, texts: list[str]):
         lists = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
         numbered = lists.flatten().dictionary_encode()
-        self.index, self.words = numbered.indices.to_numpy(zero_copy_only=False), numbered.dictionary.to_pylist()
+        self.index, self.words = numbered.indices.to_numpy(zero_copy_only=False), numbered.dictionary
         self.n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         self.doc = np.repeat(np.arange(len(texts)), self.n)
-        if "" in self.words:  # outer white space
-            keep = self.index != self.words.index("")
+        self.length = pc.utf8_length(self.words).to_numpy(zero_copy_only=False)
+        self.plain = pc.utf8_lower(pc.utf8_trim(self.words, _MARKS))
+        if (self.length == 0).any():  # outer white space
+            keep = self.length[self.index] > 0
             self.index, self.doc = self.index[keep], self.doc[keep]
             self.n = np.bincount(self.doc, minlength=len(texts))
 
@@ -83,17 +114,11 @@ class Texts:
 
     def figures(self) -> dict[str, np.ndarray]:
         """Shares by text: symbols, words with symbols, exclamation marks, capital words; insults and English words."""
-        of = np.zeros((6, len(self.words)))
-        for k, w in enumerate(self.words):
-            if w.isalpha():
-                of[3, k] = len(w) > 1 and w.isupper()
-                low = w.lower()
-            else:
-                marks = sum(map(w.count, _SYMBOLS))
-                of[0, k], of[1, k], of[2, k] = marks, marks > 0, w.count("!")
-                of[3, k] = w.isupper() and len(w) > 2
-                low = w.strip(_MARKS).lower()
-            of[4, k], of[5, k] = low in INSULTS, low in ENGLISH
+        data, ends = _bytes_of(self.words) if len(self.words) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        marks = _sums_of(np.isin(data, np.frombuffer(_SYMBOLS.encode(), np.uint8)).astype(np.int64), ends)
+        letters, upper = (f(self.words).to_numpy(zero_copy_only=False) for f in (pc.utf8_is_alpha, pc.utf8_is_upper))
+        of = [marks, marks > 0, _sums_of((data == ord("!")).astype(np.int64), ends), upper & (self.length > np.where(letters, 1, 2))]
+        of += [pc.is_in(self.plain, pa.array(sorted(x), pa.string())).to_numpy(zero_copy_only=False) for x in (INSULTS, ENGLISH)]
         n = np.maximum(1, self.n)
         names = ("symbols", "marked", "exclamations", "capitals", "insults", "english")
         found = {name: self.sums(x) / n for name, x in zip(names, of, strict=True)}
@@ -119,16 +144,9 @@ class Texts:
         return votes * (self.n > 0)[:, None]
 
     def hashed(self) -> np.ndarray:
-        """(words, 3): 32-bit hashes of a word and of its first five and four letters; 0 where it has none."""
-        out = np.zeros((len(self.words), 3), np.int64)
-        for k, w in enumerate(self.words):
-            low = (w if w.isalpha() else w.strip(_MARKS)).lower()
-            if low:
-                out[k, 0] = crc32(low.encode())
-                if len(low) > 4:
-                    out[k, 1] = crc32(low[:5].encode(), 5)
-                    out[k, 2] = crc32(low[:4].encode(), 4)
-        return out
+        """(words, 3): hashes of a word and, where it is longer, of its first five and four letters; 0 where it has none."""
+        length = pc.utf8_length(self.plain).to_numpy(zero_copy_only=False)
+        return np.stack([_hashes(self.plain, 1), *[np.where(length > n, _hashes(pc.utf8_slice_codeunits(self.plain, 0, n), n), 0) for n in (5, 4)]], axis=1)
 
     def of_text(self, f: dict[str, np.ndarray]) -> np.ndarray:
         """(texts, figures): hashes of each figure's range."""
@@ -239,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.list_(pa.int64()), *[pa.float64()] * 4), strict=True)], names=["ids", "poor", "poor_weight", "toxic", "toxic_weight"])
 
     described = settle(rows.transform(in_arrow, describe, "ids array<long>, poor double, poor_weight double, toxic double, toxic_weight double"), "described")
-    told = described.agg(*[F.coalesce(F.sum(F.col(c) * F.col(f"{c}_weight")) / F.sum(f"{c}_weight"), F.lit(0.0)).alias(c) for c in CLASSES]).first()
+    told = described.agg(*[F.coalesce(F.try_divide(F.sum(F.col(c) * F.col(f"{c}_weight")), F.sum(f"{c}_weight")), F.lit(0.0)).alias(c) for c in CLASSES]).first()
     seen = described.select(F.explode("ids").alias("id"), *CLASSES, *[f"{c}_weight" for c in CLASSES]).groupBy("id").agg(
         F.count("*").alias("n"), *[F.sum(F.col(f"{c}_weight") * (F.col(c) - told[c])).alias(c) for c in CLASSES]
     ).where("n >= 5")
