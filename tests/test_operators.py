@@ -176,6 +176,13 @@ def test_quantile_rank(spark):
     assert (r.p99, r.lo, r.hi) == (99.0, 1.0, 100.0)
 
 
+def test_round_robin_is_smooth(spark):
+    instances = spark.createDataFrame([("s", "a", 5), ("s", "b", 1), ("s", "c", 1), ("z", "only", 0)], "service string, instance string, weight int")
+    requests = spark.createDataFrame([*((i, "s") for i in range(14)), (99, "z")], "seq int, service string")
+    picks = registry.round_robin(instances, requests, "service", "weight", "instance", "seq").orderBy("seq").collect()
+    assert [r.instance for r in picks] == [*"aabacaaaabacaa", "only"]
+
+
 def test_round_robin_is_fair(spark):
     instances = spark.createDataFrame([("s", "a", 3), ("s", "b", 1)], "service string, instance string, weight int")
     requests = spark.range(8).select(F.lit("s").alias("service"), F.col("id").alias("seq"))

@@ -78,8 +78,10 @@ def decoded_columns(text: Column | str) -> Column:
 
 
 def ring_position(name: Column | str) -> Column:
-    """Place on a hash ring: the first 8 hexadecimal digits of MD5 as a number."""
-    return F.conv(F.substring(F.md5(_col(name).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    """Place on a hash ring: the first 8 bytes of MD5 as a number, without the sign bit."""
+    digits = F.md5(_col(name).cast("binary"))
+    first, rest = (F.conv(F.substring(digits, at, n), 16, 10).cast("bigint") for at, n in ((1, 1), (2, 15)))
+    return F.shiftleft(first.bitwiseAND(7), 60) + rest
 
 
 def instance_id(service: Column | str, host: Column | str, port: Column | str) -> Column:

@@ -66,15 +66,14 @@ def on_ring(keys: DataFrame, key: str, ring: DataFrame) -> DataFrame:
     Ring and keys are ordered together in slots of the circle; a slot's last answer comes from the next
     slot that has a node. The ring is a bounded table (nodes times virtual nodes).
     """
-    slots = 4096
-    width = 2**32 // slots
-    marks = ring.groupBy(F.floor(F.col("position") / width).alias("slot")).agg(F.min(F.struct("position", "node")).alias("first"))
+    slots, bits = 4096, 51  # a slot is the upper 12 of 63 bits
+    marks = ring.groupBy(F.shiftright("position", bits).alias("slot")).agg(F.min(F.struct("position", "node")).alias("first"))
     every = Window.orderBy("slot").rowsBetween(1, Window.unboundedFollowing)  # at most ``slots`` rows
     frame = ring.sparkSession.range(slots).select(F.col("id").alias("slot")).join(F.broadcast(marks), "slot", "left")
     lowest = ring.agg(F.min(F.struct("position", "node")).alias("lowest"))
     beyond = frame.select("slot", F.first("first", ignorenulls=True).over(every).alias("next")).join(F.broadcast(lowest)).select("slot", F.coalesce("next", "lowest")["node"].alias("beyond"))
-    placed = keys.select("*", ring_position(key).alias("__p")).withColumn("__slot", F.floor(F.col("__p") / width))
-    inside = ring.groupBy(F.floor(F.col("position") / width).alias("__slot")).agg(F.sort_array(F.collect_list(F.struct("position", "node"))).alias("__nodes"))
+    placed = keys.select("*", ring_position(key).alias("__p")).withColumn("__slot", F.shiftright("__p", bits))
+    inside = ring.groupBy(F.shiftright("position", bits).alias("__slot")).agg(F.sort_array(F.collect_list(F.struct("position", "node"))).alias("__nodes"))
     joined = placed.join(F.broadcast(inside), "__slot", "left").join(F.broadcast(beyond.withColumnRenamed("slot", "__slot")), "__slot")
     here = F.try_element_at(F.filter("__nodes", lambda n: n["position"] >= F.col("__p")), F.lit(1))["node"]
     return joined.withColumn("node", F.coalesce(here, F.col("beyond"))).drop("__p", "__slot", "__nodes", "beyond")
@@ -89,10 +88,23 @@ def weighted_choice(instances: DataFrame, requests: DataFrame, service: str, wei
 
 
 def round_robin(instances: DataFrame, requests: DataFrame, service: str, weight: str, instance: str, seq: str) -> DataFrame:
-    """Weighted round-robin: each cycle of requests visits an instance as often as its weight, spread over the cycle."""
-    slots = instances.where(F.col(weight) > 0).select(service, instance, F.col(weight).alias("__w"), F.explode(F.sequence(F.lit(1), F.col(weight))).alias("__i"))
-    by = Window.partitionBy(service)
-    ordered = slots.withColumn("__k", F.row_number().over(by.orderBy((F.col("__i") - 0.5) / F.col("__w"), instance)) - 1).withColumn("__n", F.count("*").over(by))
-    numbered = requests.withColumn("__r", F.row_number().over(by.orderBy(seq)) - 1)
-    cycle = ordered.groupBy(service).agg(F.max("__n").alias("__n"))
-    return numbered.join(cycle, service).withColumn("__k", F.pmod("__r", "__n")).join(ordered.select(service, "__k", instance), [service, "__k"]).drop("__k", "__r", "__n")
+    """Smooth weighted round-robin: at each request all instances gain their weight (at least 1), the largest is chosen and pays the sum.
+
+    After as many requests as the weights' sum all stand at their beginning, so one cycle is made
+    for each service (a row; its length is the sum of its weights) and requests look it up by number.
+    """
+    own = instances.select(service, instance, F.greatest(F.col(weight).cast("bigint"), F.lit(1)).alias("__w"))
+    each = own.groupBy(service).agg(F.sort_array(F.collect_list(F.struct(F.col(instance).alias("id"), F.col("__w").alias("w")))).alias("__of"), F.sum("__w").alias("__n"))
+    none = F.transform("__of", lambda x: F.lit(0).cast("bigint"))
+    start = F.struct(none.alias("now"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("picks"))
+
+    def step(state: Column, _: Column) -> Column:
+        gained = F.zip_with(state["now"], F.col("__of"), lambda x, y: x + y["w"])
+        at = F.array_position(gained, F.array_max(gained)).cast("int")
+        paid = F.transform(gained, lambda x, i: F.when(i + 1 == at, x - F.col("__n")).otherwise(x))
+        return F.struct(paid.alias("now"), at.alias("at"), F.concat(state["picks"], F.array(at)).alias("picks"))
+
+    cycle = each.select(service, "__of", "__n", F.aggregate(F.sequence(F.lit(1), F.col("__n")), start, step)["picks"].alias("__picks"))
+    slots = cycle.select(service, "__of", F.posexplode("__picks").alias("__k", "__at")).select(service, "__k", F.element_at("__of", F.col("__at"))["id"].alias(instance))
+    numbered = requests.withColumn("__r", F.row_number().over(Window.partitionBy(service).orderBy(seq)) - 1)
+    return numbered.join(cycle.select(service, "__n"), service).withColumn("__k", F.pmod("__r", "__n").cast("int")).join(slots, [service, "__k"]).drop("__k", "__r", "__n")

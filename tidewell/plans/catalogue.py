@@ -604,8 +604,8 @@ def weighted_round_robin(spark, d):
     return registry.round_robin(_instances(spark, d), requests, "service", "weight", "instance", "seq").select("seq", "service", "instance")
 
 
-@query("""WITH ring AS (SELECT CAST('0x' || substr(md5(s_name || '#' || v), 1, 8) AS BIGINT) AS position, s_name AS node FROM supplier, range(128) r(v)),
-  keys AS (SELECT DISTINCT user_id, CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT) AS p FROM events)
+@query("""WITH ring AS (SELECT CAST(CAST('0x' || substr(md5(s_name || '#' || v), 1, 16) AS UBIGINT) & CAST(9223372036854775807 AS UBIGINT) AS BIGINT) AS position, s_name AS node FROM supplier, range(128) r(v)),
+  keys AS (SELECT DISTINCT user_id, CAST(CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 16) AS UBIGINT) & CAST(9223372036854775807 AS UBIGINT) AS BIGINT) AS p FROM events)
   SELECT user_id, coalesce(node, (SELECT arg_min(node, (position, node)) FROM ring)) AS node FROM (SELECT user_id, min((position, node)) AS m FROM keys LEFT JOIN ring ON position >= p GROUP BY user_id) LEFT JOIN LATERAL (SELECT m[2] AS node) ON true""")
 def consistent_hash_ring(spark, d):
     ring = registry.hash_ring(load(spark, d, "supplier"), "s_name")
