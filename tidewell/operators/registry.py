@@ -80,10 +80,10 @@ def on_ring(keys: DataFrame, key: str, ring: DataFrame) -> DataFrame:
 
 
 def weighted_choice(instances: DataFrame, requests: DataFrame, service: str, weight: str, instance: str, draw: str) -> DataFrame:
-    """Weighted random: a request's ``draw`` in [0, 1) falls into an instance's share of the summed weights."""
+    """Weighted random: a request's ``draw`` in [0, 1) falls into an instance's share of the summed weights; a weight counts as 1 at least."""
     by = Window.partitionBy(service).orderBy(instance)
-    shares = instances.where(F.col(weight) > 0).withColumn("__hi", F.sum(weight).over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum(weight).over(Window.partitionBy(service)))
-    shares = shares.select(service, instance, (F.col("__hi") - F.col(weight)).alias("__lo"), "__hi", "__all")
+    shares = instances.withColumn("__w", F.greatest(F.col(weight), F.lit(1))).withColumn("__hi", F.sum("__w").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum("__w").over(Window.partitionBy(service)))
+    shares = shares.select(service, instance, (F.col("__hi") - F.col("__w")).alias("__lo"), "__hi", "__all")
     return requests.join(shares, service).where((F.col(draw) * F.col("__all") >= F.col("__lo")) & (F.col(draw) * F.col("__all") < F.col("__hi"))).drop("__lo", "__hi", "__all")
 
 

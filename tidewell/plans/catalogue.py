@@ -592,7 +592,7 @@ def scored_selection(spark, d):
 
 
 @query(f"""SELECT seq, instance FROM (SELECT event_id AS seq, 'svc' || (user_id % 7) AS service, (value % 1.0) AS draw FROM events) JOIN
-  (SELECT service, instance, sum(weight) OVER (PARTITION BY service ORDER BY instance) AS hi, weight, sum(weight) OVER (PARTITION BY service) AS al FROM {_I} WHERE weight > 0) USING (service) WHERE draw * al >= hi - weight AND draw * al < hi""")
+  (SELECT service, instance, sum(w) OVER (PARTITION BY service ORDER BY instance) AS hi, w AS weight, sum(w) OVER (PARTITION BY service) AS al FROM (SELECT *, greatest(weight, 1) AS w FROM {_I})) USING (service) WHERE draw * al >= hi - weight AND draw * al < hi""")
 def weighted_random_choice(spark, d):
     requests = events(spark, d).select("seq", F.concat(F.lit("svc"), (F.col("user_id") % 7).cast("string")).alias("service"), (F.col("value") % 1.0).alias("draw"))
     return registry.weighted_choice(_instances(spark, d), requests, "service", "weight", "instance", "draw").select("seq", "instance")
