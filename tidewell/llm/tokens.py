@@ -127,6 +127,8 @@ class UnitTokenizer:
 
     def _short(self, texts: list[str]) -> list[bytes]:
         """By pieces: Arrow splits the texts and numbers the different pieces, so that Python sees each once."""
+        if self.folds:  # Latin-1 texts at once: fewer different pieces
+            texts = [t.lower() if "<|" not in t and (t.isascii() or _LATIN(t)) else t for t in texts]
         lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
         numbered = lists.flatten().dictionary_encode()
         index, pieces = numbered.indices.to_numpy(zero_copy_only=False).copy(), numbered.dictionary.to_pylist()
