@@ -134,6 +134,35 @@ def test_chat_tree(spark):
         assert (got.loss_chars, got.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_deep_tree_over_many_ranges(spark):
+    rng = random.Random(2)
+    turns = [(c, k, "user", rng.choice("xy")) for c in range(40) for k in range(rng.randint(1, 9))]
+    turns += [(100 + c, k, "user", "x" if k < 700 + c else str(k)) for c in range(4) for k in range(1500)]  # long, parting late
+    segments, references = chat_format.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), BYTE)
+    seg, paths, said, nodes = {r.place: r for r in segments.collect()}, {}, {}, set()
+    for r in sorted(references.collect(), key=lambda r: (r.conv_id, r.turn_index)):
+        paths.setdefault(r.conv_id, []).append(r.place)
+    for c, _, _, text in sorted(turns):
+        said[c] = (*said.get(c, ()), text)
+    for t in said.values():
+        nodes |= {hash(t[: k + 1]) for k in range(len(t))}
+    assert len(seg) == len(nodes) and {c: len(p) for c, p in paths.items()} == {c: len(t) for c, t in said.items()}
+    at = 0
+    for place in sorted(seg):
+        assert place == at
+        at += seg[place].length
+    for path in paths.values():
+        joined, position = [], 0
+        for k, place in enumerate(path):
+            s = seg[place]
+            assert (s.position, s.depth) == (position, k) and [[a.begin, a.end] for a in s.attends] == joined
+            position += s.length
+            if joined and joined[-1][1] == place:
+                joined[-1][1] += s.length
+            else:
+                joined.append([place, place + s.length])
+
+
 def test_chat_empty(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     segments, references = chat_format.format_conversations(none, BYTE)

@@ -10,9 +10,10 @@ Steps, none of which needs a whole tree in one place:
    into ids and chains the digest;
 2. a conversation's digests, in order, are its path; conversations are range-partitioned by
    (path, conversation), so a very common first turn or whole conversation spreads out;
-3. pass one over each range gives its last path and the sum of new ids, a row a partition;
-   those rows give each range its first place and the path that is open where it begins;
-4. pass two emits segments (one a node) and where each conversation ends.
+3. pass one over each range gives its last path with its places and the sum of new ids, a row a
+   partition; those rows give each range its first place and the open path where it begins;
+4. pass two gives each turn its place, and each new node its position and its ancestors'
+   intervals from the open path; one join by (conversation, turn) brings them to the ids.
 
 A segment holds its ids, its place in the token stream, the position id of its first token
 (its depth in tokens), the span of its loss and the intervals of the stream its tokens may
@@ -26,8 +27,8 @@ one backslash more, so no control string can occur there and the step can be und
 Defined cases: null role or text is empty; turns with equal numbers are ordered by role and
 text, and repeated rows are turns of their own; a null conversation id is a conversation of
 its own; no rows give no rows; other columns are not looked at; texts are formatted whole.
-A conversation's turns are read in a stream; only its digests (16 bytes a turn) and, while
-it is written, its new segments are held together.
+Work is linear in a conversation's turns and in the intervals given out. Only a conversation's
+digests and sizes (24 bytes a turn) are held together, and one such path a partition on the driver.
 """
 
 from __future__ import annotations
@@ -49,11 +50,6 @@ from tidewell.llm.tokens import tokenizer
 #: Stands for a null conversation id between the steps, where joins need a value.
 _NULL_ID = -(2**63) + 1
 START, END = "<|im_start|>", "<|im_end|>"
-SEGMENTS = (
-    "place long, length long, position long, depth int, role string, ids binary, loss_start int, loss_length int, "
-    "attends array<struct<begin:long,end:long>>"
-)
-REFERENCES = "conv_id long, turn_index int, place long"
 
 
 def escape(s: str) -> str:
@@ -167,78 +163,67 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str, loss_rol
     ends = ordered.repartition("part").sortWithinPartitions("part", "path", "conv_id")
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each range: its first and last path with sizes, and its new ids if nothing were open before it."""
+        """For each range: its first and last path, the places of the last one's nodes and its new ids if nothing were open before it."""
         found: dict[int, list] = {}
         for batch in batches:
             for part, path, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part not in found:
-                    found[part] = [path, sizes, path, sizes, sum(sizes)]
-                else:
-                    old = found[part]
-                    old[4] += sum(sizes[_common(old[2], path) :])
-                    old[2], old[3] = path, sizes
+                    found[part] = [path, sizes, b"", [], 0]
+                own = found[part]
+                shared = _common(own[2], path)
+                del own[3][shared:]
+                for n in sizes[shared:]:
+                    own[3].append(own[4])
+                    own[4] += n
+                own[2] = path
         if found:
             rows = [(p, *x) for p, x in found.items()]
-            yield _batch(rows, [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.int64()], ["part", "first", "first_sizes", "last", "last_sizes", "n"])
+            yield _batch(rows, [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.int64()], ["part", "first", "first_sizes", "last", "places", "n"])
 
-    opened, place, path = {}, 0, b""
-    rows = ends.select("part", "path", "sizes").transform(in_arrow, bounds, "part long, first binary, first_sizes array<long>, last binary, last_sizes array<long>, n long").collect()
+    opened, place, path, places = {}, 0, b"", []
+    rows = ends.select("part", "path", "sizes").transform(in_arrow, bounds, "part long, first binary, first_sizes array<long>, last binary, places array<long>, n long").collect()
     for r in sorted(rows, key=lambda r: r["part"]):  # a row for each range
-        opened[r["part"]] = (place, path)
+        opened[r["part"]] = (place, path, places)
         shared = _common(path, bytes(r["first"]))
-        place, path = place + r["n"] - sum(r["first_sizes"][:shared]), bytes(r["last"])
+        known = sum(r["first_sizes"][:shared])  # ids of the range's first nodes, which are open already
+        places = [places[k] if k < shared and x < known else place + x - known for k, x in enumerate(r["places"])]
+        place, path = place + r["n"] - known, bytes(r["last"])
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each turn of each conversation (conv, k, node place or null where the node was open before the range, new)."""
+        """Each turn of each conversation with its node's place; a new node also with its position and its ancestors' intervals."""
 
         def rows() -> Iterator[tuple]:
             part_now, path, stack, at = None, b"", [], 0
             for batch in batches:
                 for part, conv, own, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if part != part_now:
-                        at, path = opened[part]
-                        part_now, stack = part, [None] * (len(path) // 16)
+                        at, path, open_places = opened[part]
+                        part_now, stack = part, list(open_places)
                     shared = _common(path, own)
                     del stack[shared:]
-                    for k in range(shared, len(sizes)):
-                        stack.append(at)
-                        at += sizes[k]
+                    begins: list[int] = []  # depths at which an interval begins: an ancestor that doesn't follow its parent at once
+                    position = 0
+                    for k, n in enumerate(sizes):
+                        attends = None
+                        if k >= shared:
+                            stack.append(at)
+                            at += n
+                            attends = [{"begin": stack[i], "end": stack[j - 1] + sizes[j - 1]} for i, j in zip(begins, [*begins[1:], k], strict=True)] if k else []
+                        if not k or stack[k] != stack[k - 1] + sizes[k - 1]:
+                            begins.append(k)
+                        yield conv, k, stack[k], k >= shared, position, attends
+                        position += n
                     path = own
-                    for k in range(len(sizes)):
-                        yield conv, k, own[16 * k : 16 * k + 16], stack[k], k >= shared
 
-        yield from _batches(rows(), [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_()], ["conv_id", "k", "node", "place", "new"])
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
+        yield from _batches(rows(), kinds, ["conv_id", "k", "place", "new", "position", "attends"])
 
-    laid = settle(ends.select("part", "conv_id", "path", "sizes").transform(in_arrow, lay_out, "conv_id long, k int, node binary, place long, new boolean"), "laid")
-    # A path that is open across a range's border was laid out in an earlier range: fill in those places from the node's only new row.
-    carried = laid.where("place is null").select("node").distinct()
-    known = laid.where("new").join(carried, "node", "left_semi").select("node", F.col("place").alias("known"))
-    references = settle(laid.where("place is not null").unionByName(
-        laid.where("place is null").drop("place").join(known, "node").select("conv_id", "k", "node", F.col("known").alias("place"), "new")
-    ), "references")
-
-    # Ancestors of each new segment: the conversation that brings it knows all places on its path.
-    bringing = references.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("k", "place", "new"))).alias("t")).where("exists(t, x -> x.new)")
-    own = turns.join(references.where("new").select("conv_id", "k", "place"), ["conv_id", "k"])
-    parts = own.join(bringing, "conv_id").join(whole.select("conv_id", F.expr("transform(t, x -> x.n)").alias("sizes")), "conv_id")
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for place, k, role, ids, loss_start, loss_length, places, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    attends: list[list[int]] = []
-                    for begin, n in zip(places[:k], sizes[:k], strict=True):
-                        if attends and attends[-1][1] == begin:
-                            attends[-1][1] = begin + n
-                        else:
-                            attends.append([begin, begin + n])
-                    yield place, len(ids) // 4, sum(sizes[:k]), k, role, ids, loss_start, loss_length, [{"begin": a, "end": b} for a, b in attends]
-
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
-        yield from _batches(rows(), kinds, ["place", "length", "position", "depth", "role", "ids", "loss_start", "loss_length", "attends"])
-
-    segments = parts.select("place", "k", "role", "ids", "loss_start", "loss_length", F.expr("transform(t, x -> x.place)").alias("places"), "sizes").transform(in_arrow, emit, SEGMENTS)
-    return segments, references.select(F.when(F.col("conv_id") != _NULL_ID, F.col("conv_id")).alias("conv_id"), F.col("k").alias("turn_index"), "place")
+    schema = "conv_id long, k int, place long, new boolean, position long, attends array<struct<begin:long,end:long>>"
+    laid = settle(ends.select("part", "conv_id", "path", "sizes").transform(in_arrow, lay_out, schema), "laid")
+    segments = turns.join(laid.where("new").select("conv_id", "k", "place", "position", "attends"), ["conv_id", "k"]).select(
+        "place", F.expr("cast(length(ids) div 4 as long)").alias("length"), "position", F.col("k").alias("depth"), "role", "ids", "loss_start", "loss_length", "attends"
+    )
+    return segments, laid.select(F.when(F.col("conv_id") != _NULL_ID, F.col("conv_id")).alias("conv_id"), F.col("k").alias("turn_index"), "place")
 
 
 def read_back(segments: DataFrame, references: DataFrame, tokenizer_path: str) -> DataFrame:
