@@ -79,11 +79,12 @@ class Vocabulary:
         self.size = self.encoder.tokenizer.get_vocab_size()
         self.start, self.end = ((self.size + k).to_bytes(4, "little") for k in (0, 1))
 
-    def turn(self, role: str, text: str, loss: bool) -> tuple[bytes, int, int]:
-        """ids of a turn, and where its loss begins and how long it is (0, 0: none)."""
-        head, body, tail = self.encoder.encode([escape_role(role) + "\n", escape(text), "\n"])
-        ids = self.start + head + body + self.end + tail
-        return (ids, 1 + len(head) // 4, len(body) // 4) if loss else (ids, 0, 0)
+    def turns(self, roles: list[str], texts: list[str], loss_roles: tuple[str, ...]) -> Iterator[tuple[bytes, int, int]]:
+        """ids of each turn, and where its loss begins and how long it is (0, 0: none); a batch is one call of the encoder."""
+        *heads, tail = self.encoder.encode([*(escape_role(r) + "\n" for r in roles), "\n"])
+        for role, head, body in zip(roles, heads, self.encoder.encode([escape(t) for t in texts]), strict=True):
+            ids = self.start + head + body + self.end + tail
+            yield (ids, 1 + len(head) // 4, len(body) // 4) if role in loss_roles else (ids, 0, 0)
 
 
 def decode(tok: Tokenizer, size: int, ids: bytes) -> str:
@@ -123,12 +124,13 @@ def _turns(conversations: DataFrame, path: str, loss_roles: tuple[str, ...]) ->
         def rows() -> Iterator[tuple]:
             last, digest, k = (), b"", 0
             for batch in batches:
-                for conv, _, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                convs, _, roles, texts = (c.to_pylist() for c in batch.columns)
+                for conv, role, text, turn in zip(convs, roles, texts, vocabulary.turns(roles, texts, loss_roles), strict=True):
                     if (conv,) != last:
                         last, digest, k = (conv,), b"", 0
                     history = hashlib.sha256(digest + len(role.encode()).to_bytes(8, "big") + role.encode() + b"\n" + text.encode())
                     digest = history.digest()[:16]
-                    yield (conv, k, digest, role, *vocabulary.turn(role, text, role in loss_roles))
+                    yield (conv, k, digest, role, *turn)
                     k += 1
 
         yield from _batches(rows(), [pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.binary(), pa.int32(), pa.int32()], ["conv_id", "k", "node", "role", "ids", "loss_start", "loss_length"])
