@@ -138,7 +138,7 @@ class Texts:
         votes = np.stack([
             by_limits(f["symbols"], 0.3, 0.02), by_limits(f["marked"], 0.25, 0.05), by_limits(f["repeated"], 0.5, 0.1),
             np.where(self.n >= 50, (f["different"] < 0.25).astype(np.int8) - (f["different"] > 0.5), 0),
-            by_limits(f["exclamations"], 0.3, 0.02), np.where(self.n >= 10, by_limits(f["capitals"], 0.5, 0.1), 0),
+            by_limits(f["exclamations"], 0.3, 0.02), np.where(self.n >= 10, (f["capitals"] >= 0.5).astype(np.int8) - (f["capitals"] < 0.1), 0),
             some, np.where(f["insult_words"] > 2, 1, np.where(english & (self.n >= 100) & (f["insult_words"] == 0), -1, 0)), np.where(f["insults"] > 0.01, 1, np.where(english & (f["insults"] == 0), -1, 0)),
         ], axis=1).astype(np.int8)
         return votes * (self.n > 0)[:, None]
