@@ -176,6 +176,31 @@ def test_quantile_rank(spark):
     assert (r.p99, r.lo, r.hi) == (99.0, 1.0, 100.0)
 
 
+def test_load_score(spark):
+    one = spark.range(1).select(F.lit(9).alias("w"), F.lit(25.0).alias("cpu"), F.lit(50.0).alias("latency"), F.lit("z").alias("zone"), F.lit(3).alias("queue"), F.lit(None).cast("double").alias("memory"))
+    m = {c: F.col(c) for c in ("cpu", "latency", "queue", "memory")}
+    score = registry.load_score(F.col("w"), m, near=[(F.col("zone"), "z", registry.ZONE_BOOST)])
+    assert one.select(score).first()[0] == pytest.approx(2 * 1.05 * 0.75 * 0.5)
+    assert one.select(registry.load_score(F.col("w"), m, {"queue": 1.0, "memory": 1.0})).first()[0] == pytest.approx(2 * 0.75 * 0.5 * 0.25)
+    assert one.select(registry.load_score(F.col("w"), m, limits={"cpu": 20})).first()[0] is None
+    assert one.select(registry.load_score(F.col("w"), m, limits={"cpu": 25, "memory": 1})).first()[0] is not None
+
+
+def test_best_breaks_ties_and_never_leaves_a_service_without(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 1.0), ("a", "v", 0.5), ("b", "q", None), ("b", "p", None)], "service string, instance string, s double")
+    assert rows(registry.best(df, "service", F.col("s"), "instance"), "service", "instance", "score") == [("a", "x", 1.0), ("b", "p", None)]
+
+
+def test_watermark_by_slots(spark):
+    rng = random.Random(5)
+    given = [(i, rng.randrange(1000) if rng.random() > 0.1 else None) for i in range(500)] + [(None, 40)]
+    df = spark.createDataFrame(given, "arrival long, ms long")
+    whole = windows.watermark_before(df, 10)
+    for width in (1, 7, 100_000):
+        slotted = windows.watermark_before(df, 10, slot=F.floor(F.col("arrival") / width))
+        assert whole.exceptAll(slotted).count() == 0 and slotted.count() == 501
+
+
 def test_round_robin_is_smooth(spark):
     instances = spark.createDataFrame([("s", "a", 5), ("s", "b", 1), ("s", "c", 1), ("z", "only", 0)], "service string, instance string, weight int")
     requests = spark.createDataFrame([*((i, "s") for i in range(14)), (99, "z")], "seq int, service string")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.scalar import matches, ring_position, significant_change
 
-#: Fixed values of the usual score: boosts and factors.
-SAME_REGION, SAME_ZONE = 1.1, 1.2
+#: Fixed values of the usual score.
+REGION_BOOST, ZONE_BOOST = 1.1, 1.05
+TARGET_LATENCY_MS = 50.0
+IMPORTANCE = {"cpu": 1.0, "latency": 1.0, "memory": 0.0, "inflight": 0.0, "queue": 0.0, "errorRate": 0.0}
 
 
 def active(instances: DataFrame, now_ms: int, timeout_ms: int, conditions: dict[str, str] | None = None, heartbeat: str = "heartbeat_ms", fields: str = "metadata") -> DataFrame:
@@ -39,20 +41,40 @@ def heartbeat_decision(health_flipped: Column, metrics_changed: Column, since_up
     return F.when(health_flipped | metrics_changed | (since_update_ms >= interval_ms), "METRICS_UPDATE").when(since_heartbeat_ms >= heartbeat_ms, "HEARTBEAT_ONLY").otherwise("NO_UPDATE")
 
 
-def load_score(weight: Column, cpu: Column, latency_ms: Column, region: Column | None = None, my_region: str = "", zone: Column | None = None, my_zone: str = "", most_cpu: float = 100.0, most_latency_ms: float = 1e9) -> Column:
-    """Greater is better; instances beyond a limit score nothing (null)."""
-    score = F.log10(F.greatest(weight, F.lit(1)) + 9) * (1 - F.least(cpu, F.lit(100.0)) / 100) / (1 + latency_ms / 100)
-    if region is not None:
-        score = score * F.when(region == my_region, SAME_REGION).otherwise(1.0)
-    if zone is not None:
-        score = score * F.when(zone == my_zone, SAME_ZONE).otherwise(1.0)
-    return F.when((cpu <= most_cpu) & (latency_ms <= most_latency_ms), score)
+def load_score(weight: Column, metrics: dict[str, Column], importance: dict[str, float] | None = None, limits: dict[str, float] | None = None, near: list[tuple[Column, str, float]] = (), weight_factor: float = 1.0, target_latency_ms: float = TARGET_LATENCY_MS) -> Column:
+    """Greater is better; null for instances with a metric beyond its limit.
+
+    ``metrics``: columns by the names of ``IMPORTANCE``, which is the exponent of each one's share. Percentages
+    count as what is left of 100, latency against its target, lengths of queues inversely. A metric that is null or
+    negative says nothing. ``near``: (place, the preferred one, boost).
+    """
+    say = IMPORTANCE | (importance or {})
+    score = 1 + weight_factor * F.log10(F.greatest(weight, F.lit(1)) + 1)
+    for place, preferred, boost in near:
+        score = score * F.when(place == preferred, boost).otherwise(1.0)
+    within = F.lit(True)
+    for name, column in metrics.items():
+        x = column.cast("double")
+        if name == "latency":
+            target = max(1.0, target_latency_ms)
+            share = target / (target + x)
+        elif name in ("inflight", "queue"):
+            share = 1 / (1 + x)
+        else:
+            share = 1 - F.least(x, F.lit(100.0)) / 100
+        if say[name] > 0:
+            score = score * F.when(x >= 0, F.pow(share, F.lit(say[name]))).otherwise(1.0)
+        most = (limits or {}).get(name, -1)
+        if most >= 0:
+            within = within & F.coalesce(x <= most, F.lit(True))
+    return F.when(within, score)
 
 
 def best(instances: DataFrame, service: str, score: Column, instance: str) -> DataFrame:
-    """The instance of the greatest score by service, ties to the greater name; excluded instances never win."""
-    scored = instances.withColumn("__s", score).where("__s is not null")
-    return scored.groupBy(service).agg(F.max(F.struct("__s", instance)).alias("__m")).select(service, F.col(f"__m.{instance}").alias(instance), F.col("__m.__s").alias("score"))
+    """The instance of the greatest score by service, ties to the lesser name. Where all are excluded, the least name without a score."""
+    scored = instances.withColumn("__s", score)
+    first = F.min(F.struct(F.coalesce(-F.col("__s"), F.lit(float("inf"))), instance, "__s")).alias("__m")
+    return scored.groupBy(service).agg(first).select(service, F.col(f"__m.{instance}").alias(instance), F.col("__m.__s").alias("score"))
 
 
 def hash_ring(nodes: DataFrame, node: str, virtual_nodes: int = 128) -> DataFrame:

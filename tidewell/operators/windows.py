@@ -84,14 +84,27 @@ def count_trigger(df: DataFrame, keys: list[str], n: int, seq: str = "seq") -> D
     return df.withColumn("__k", F.row_number().over(by)).where(F.col("__k") % n == 0).drop("__k")
 
 
-def watermark_before(df: DataFrame, bound_ms: int, ms: str = "ms", arrival: str = "arrival", keys: list[str] = (), exclusive: bool = False) -> DataFrame:
+def watermark_before(df: DataFrame, bound_ms: int, ms: str = "ms", arrival: str = "arrival", keys: list[str] = (), exclusive: bool = False, slot: Column | None = None) -> DataFrame:
     """``wm``: the watermark each row meets, the largest time so far, itself included, less the bound (less 1 if ``exclusive``).
 
-    Without keys the whole stream has one watermark, which is a sequential notion; deal by a source or
-    partition column in ``keys`` where there is one.
+    Deal by a source or partition column in ``keys`` where there is one. Without keys the whole stream has
+    one watermark; then ``slot``, a long that never falls as arrivals go on, deals the rows: only the largest
+    time of each slot, and of each 4096 slots, is carried on, so no task sees all rows.
+    Null arrivals come first; null times don't move the watermark.
     """
-    by = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(arrival).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("wm", F.max(ms).over(by) - bound_ms - (1 if exclusive else 0))
+    less = bound_ms + (1 if exclusive else 0)
+    if keys or slot is None:
+        by = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(arrival).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn("wm", F.max(ms).over(by) - less)
+    placed = df.withColumn("__slot", F.coalesce(slot.cast("bigint"), F.lit(-(2**62))))
+    fine = placed.groupBy("__slot").agg(F.max(ms).alias("__most")).withColumn("__block", F.floor(F.col("__slot") / 4096))
+    blocks = fine.groupBy("__block").agg(F.max("__most").alias("__most"))  # a row for each 4096 slots
+    before = (Window.unboundedPreceding, -1)
+    above = blocks.select("__block", F.max("__most").over(Window.orderBy("__block").rowsBetween(*before)).alias("__above"))
+    inside = F.max("__most").over(Window.partitionBy("__block").orderBy("__slot").rowsBetween(*before))
+    carried = fine.join(above, "__block").select("__slot", F.greatest("__above", inside).alias("__carried"))
+    own = F.max(ms).over(Window.partitionBy("__slot").orderBy(arrival).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.join(carried, "__slot").withColumn("wm", F.greatest(own, "__carried") - less).drop("__slot", "__carried")
 
 
 def drop_late(df: DataFrame, lateness_ms: int = 0) -> DataFrame:

@@ -163,7 +163,7 @@ _LATE = f"SELECT event_type, ms - ms % {HOUR} AS w_start, max(ms) OVER (ORDER BY
 
 def _arrivals(spark, d):
     ev = events(spark, d).withColumn("arrival", F.struct((F.col("seq") + 37 * (F.col("seq") % 11)).alias("a"), "seq"))
-    return windows.watermark_before(windows.tumbling(ev, HOUR), HOUR)
+    return windows.watermark_before(windows.tumbling(ev, HOUR), HOUR, slot=F.floor(F.col("arrival.a") / 4096))
 
 
 @query(f"SELECT event_type, w_start, count(*) AS n FROM ({_LATE}) WHERE wm < w_start + {HOUR} GROUP BY ALL")
@@ -240,9 +240,13 @@ def uv_exact_bucketed(spark, d):
     return analytics.unique_visitors(events(spark, d), "event_type", "user_id", 60_000, _T0 + DAY + 30_000, _T0 + 8 * DAY)
 
 
-@query()
+@query(f"SELECT event_type, count(DISTINCT user_id) AS visitors, true AS close FROM $EV WHERE ms >= {_T0 // HOUR * HOUR} AND ms < {(_T0 + 30 * DAY) // HOUR * HOUR + HOUR} GROUP BY ALL")
 def uv_hll(spark, d):
-    return analytics.unique_visitors(events(spark, d), "event_type", "user_id", HOUR, _T0, _T0 + 30 * DAY, exact=False)
+    """The sketch's estimate against the exact number: three standard errors of 1.6 % are allowed."""
+    span = (events(spark, d), "event_type", "user_id", HOUR, _T0, _T0 + 30 * DAY)
+    estimate = analytics.unique_visitors(*span, exact=False).withColumnRenamed("visitors", "estimate")
+    both = analytics.unique_visitors(*span).join(estimate, "event_type")
+    return both.select("event_type", "visitors", (F.abs(F.col("estimate") - F.col("visitors")) <= 0.05 * F.col("visitors")).alias("close"))
 
 
 _SCORES = "SELECT event_type, user_id, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS score FROM events GROUP BY ALL"
@@ -269,9 +273,13 @@ def quantile_p50_p95_p99(spark, d):
     return analytics.quantiles(events(spark, d), ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
-@query()
+@query("SELECT event_type, count(value) AS n, true AS p50_close, true AS p99_close FROM events GROUP BY event_type")
 def quantile_sketch(spark, d):
-    return analytics.approximate_quantiles(events(spark, d), ["event_type"], "value", {"p50": 0.5, "p99": 0.99})
+    """The ranks of the sketch's quantiles among all values: 3 % off at most, twice the sketch's stated error."""
+    ev, qs = events(spark, d), {"p50": 0.5, "p99": 0.99}
+    met = ev.join(analytics.approximate_quantiles(ev, ["event_type"], "value", qs), "event_type")
+    close = [((F.count_if(F.col("value") <= F.col(q)) >= (p - 0.03) * F.count("value")) & (F.count_if(F.col("value") < F.col(q)) <= (p + 0.03) * F.count("value"))).alias(f"{q}_close") for q, p in qs.items()]
+    return met.groupBy("event_type").agg(F.count("value").alias("n"), *close)
 
 
 @query("SELECT event_type AS name, CASE event_type WHEN 'click' THEN 'counter' WHEN 'view' THEN 'meter' ELSE 'gauge' END AS kind, CAST(CASE event_type WHEN 'click' THEN sum(value) WHEN 'view' THEN count(value) ELSE arg_max(value, seq) END AS DOUBLE) AS value, count(value) AS n, min(value) AS least, max(value) AS most FROM (SELECT seq, event_type, floor(value) AS value FROM $EV) GROUP BY event_type")
@@ -497,17 +505,28 @@ def dedup_sliding_key(spark, d):
     return reliability.first_within_horizon(events(spark, d), "user_id", HOUR).select("seq")
 
 
-@query()
+def _limited(state: str, before: str, held: str, verdict: str, after: str) -> str:
+    """A recurrence over each user's hits in order: ``held`` is the state at a hit, ``after`` the state it leaves."""
+    return f"""WITH RECURSIVE hits AS (SELECT user_id, seq, ms, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS k FROM $EV),
+  step AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS ms, CAST(NULL AS BIGINT) AS stamp, {before}::{state} AS held, false AS allowed FROM (SELECT DISTINCT user_id FROM hits)
+    UNION ALL SELECT user_id, k, seq, ms, greatest(stamp, ms), {after}, {verdict} FROM (SELECT h.user_id, h.k, h.seq, h.ms, p.stamp, {held} AS held FROM step p JOIN hits h ON h.user_id = p.user_id AND h.k = p.k + 1))
+  SELECT user_id, seq, ms, allowed FROM step WHERE k > 0"""
+
+
+_PASSED = "(greatest(h.ms, coalesce(p.stamp, h.ms)) - coalesce(p.stamp, h.ms)) * (CAST(1 AS DOUBLE) / 7200 / 1000)"
+
+
+@query(_limited("BIGINT[]", "[]", f"[x FOR x IN p.held IF x > h.ms - {6 * HOUR}]", "len(held) < 3", "CASE WHEN len(held) < 3 THEN list_append(held, ms) ELSE held END"))
 def rate_sliding(spark, d):
     return reliability.rate_limited(events(spark, d), "user_id", lambda: reliability.SlidingLimit(3, 6 * HOUR))
 
 
-@query()
+@query(_limited("DOUBLE", "3", f"least(3, p.held + {_PASSED})", "held >= 1", "CASE WHEN held >= 1 THEN held - 1 ELSE held END"))
 def rate_token(spark, d):
     return reliability.rate_limited(events(spark, d), "user_id", lambda: reliability.TokenBucket(3, 1 / 7200))
 
 
-@query()
+@query(_limited("DOUBLE", "0", f"greatest(0, p.held - {_PASSED})", "held + 1 <= 3", "CASE WHEN held + 1 <= 3 THEN held + 1 ELSE held END") + " AND allowed")
 def rate_leaky(spark, d):
     return reliability.limit_sink(reliability.rate_limited(events(spark, d), "user_id", lambda: reliability.LeakyBucket(3, 1 / 7200)))
 
@@ -586,9 +605,14 @@ def registry_details(spark, d):
     return registry.service_details(_instances(spark, d))
 
 
-@query(f"SELECT service, max(CASE WHEN s = m THEN instance END) AS instance FROM (SELECT *, max(s) OVER (PARTITION BY service) AS m FROM (SELECT *, log10(greatest(weight, 1) + 9) * (1 - least(cpu, 100.0) / 100) / (1 + latency / 100) AS s FROM {_I} WHERE cpu <= 90)) GROUP BY service")
+@query(f"""SELECT service, arg_min(instance, (coalesce(-s, CAST('inf' AS DOUBLE)), instance)) AS instance FROM (SELECT service, instance, CASE WHEN cpu <= 60 AND inflight <= 20 THEN
+  (1 + log10(greatest(weight, 1) + 1)) * (CASE WHEN region = 1 THEN 1.1 ELSE 1.0 END::DOUBLE) * (1 - least(cpu, 100.0::DOUBLE) / 100) * (50.0::DOUBLE / (50.0::DOUBLE + latency)) * sqrt(1 / (1 + inflight)) END AS s
+  FROM (SELECT *, CAST(k % 23 AS DOUBLE) AS inflight FROM {_I})) GROUP BY service""")
 def scored_selection(spark, d):
-    return registry.best(_instances(spark, d), "service", registry.load_score(F.col("weight"), F.col("cpu"), F.col("latency"), most_cpu=90), "instance").select("service", "instance")
+    own = _instances(spark, d).withColumn("inflight", F.floor(F.col("heartbeat_ms") / 1000) % 23)
+    metrics = {"cpu": F.col("cpu"), "latency": F.col("latency"), "inflight": F.col("inflight")}
+    score = registry.load_score(F.col("weight"), metrics, {"inflight": 0.5}, {"cpu": 60, "inflight": 20}, [(F.col("metadata")["region"], "r1", registry.REGION_BOOST)])
+    return registry.best(own, "service", score, "instance").select("service", "instance")
 
 
 @query(f"""SELECT seq, instance FROM (SELECT event_id AS seq, 'svc' || (user_id % 7) AS service, (value % 1.0) AS draw FROM events) JOIN
@@ -598,7 +622,11 @@ def weighted_random_choice(spark, d):
     return registry.weighted_choice(_instances(spark, d), requests, "service", "weight", "instance", "draw").select("seq", "instance")
 
 
-@query()
+@query(f"""WITH RECURSIVE own AS (SELECT service, list(instance ORDER BY instance) AS ids, list(CAST(greatest(weight, 1) AS BIGINT) ORDER BY instance) AS ws, CAST(sum(greatest(weight, 1)) AS BIGINT) AS n FROM {_I} GROUP BY service),
+  step AS (SELECT service, CAST(0 AS BIGINT) AS k, [CAST(0 AS BIGINT) FOR x IN ws] AS held, CAST(0 AS BIGINT) AS pick, ids, ws, n FROM own
+    UNION ALL SELECT service, k + 1, [CASE WHEN i = p THEN g[i] - n ELSE g[i] END FOR i IN range(1, len(g) + 1)], p, ids, ws, n FROM
+      (SELECT *, CAST(list_position(g, list_max(g)) AS BIGINT) AS p FROM (SELECT *, [held[i] + ws[i] FOR i IN range(1, len(ws) + 1)] AS g FROM step WHERE k < n)))
+  SELECT seq, service, ids[pick] AS instance FROM (SELECT event_id AS seq, 'svc' || (user_id % 7) AS service, row_number() OVER (PARTITION BY user_id % 7 ORDER BY event_id) - 1 AS r FROM events) JOIN step USING (service) WHERE step.k = r % n + 1""")
 def weighted_round_robin(spark, d):
     requests = events(spark, d).select("seq", F.concat(F.lit("svc"), (F.col("user_id") % 7).cast("string")).alias("service"))
     return registry.round_robin(_instances(spark, d), requests, "service", "weight", "instance", "seq").select("seq", "service", "instance")
